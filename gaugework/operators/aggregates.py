@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.safe import nan_to_null, pair_corr, ratio, with_keys
 from gaugework.functions.temporal import month_end
+from gaugework.operators.cleaning import melt
 from gaugework.operators.joins import one_row
 from gaugework.operators.quantiles import quantiles
 
@@ -134,8 +135,7 @@ def mean_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Data
 
 def mean_by_measure(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Same as ``mean_by`` in long form: aggregate wide first, then one row per measure."""
-    small = mean_by(df, keys, measures)
-    return small.unpivot(list(keys), list(measures), "measure", "value").where(F.col("value").isNotNull())
+    return melt(mean_by(df, keys, measures), keys, measures)
 
 
 def mean_of_all(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -207,7 +207,7 @@ def flow_counts(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
     """Number of present values per (key, measure): the edges of a two-sided flow."""
     counts = [F.count(nan_to_null(F.col(m).cast("double"))).alias(m) for m in measures]
     wide = with_keys(df, [key]).groupBy(key).agg(*counts)
-    edges = wide.unpivot([key], list(measures), "target", "value").where(F.col("value") > 0)
+    edges = melt(wide, [key], measures, "target", "value", "long").where(F.col("value") > 0)
     return edges.withColumnRenamed(key, "source")
 
 
@@ -267,7 +267,7 @@ def hierarchy_sum(df: DataFrame, path: Sequence[str], measures: Sequence[str]) -
     path = list(path)
     sums = [F.sum(nan_to_null(F.col(m).cast("double"))).alias(m) for m in measures]
     leaves = with_keys(df, path).groupBy(*path).agg(*sums)
-    leaves = leaves.unpivot(path, list(measures), "measure", "leaf").where(F.col("leaf").isNotNull())
+    leaves = melt(leaves, path, measures, value_name="leaf")
     levels = [*path, "measure"]
     rolled = leaves.rollup(*levels).agg(F.sum("leaf").alias("value"), F.grouping_id().alias("gid"))
     # grouping_id is 0 at the deepest level and 2^k - 1 when the last k levels are rolled up.

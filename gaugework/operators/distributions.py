@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.safe import nan_to_null, ratio, with_keys
@@ -101,13 +101,21 @@ _MOMENTS = 9
 _REACH = 9.0
 
 
-def _hermite_sum(u: Column) -> Column:
-    """Sum over k of He_k(u) * moment_k / k!, the expansion of a cell of Gaussian kernels."""
-    previous, current = F.lit(1.0), u
-    total = F.col("m0")
+def _power(name: str, k: int) -> str:
+    return " * ".join([name] * k) or "1.0D"
+
+
+def _hermite_sum() -> str:
+    """SQL text for the sum over k of He_k(u) * moment_k / k!: a whole cell of Gaussian kernels."""
+    total = "m0"
+    polynomials = [[1], [0, 1]]
     for k in range(1, _MOMENTS):
-        total = total + current * F.col(f"m{k}") / float(math.factorial(k))
-        previous, current = current, u * current - k * previous
+        he = polynomials[k]
+        terms = " + ".join(f"{c}D * {_power('u', i)}" for i, c in enumerate(he) if c)
+        total += f" + ({terms}) * m{k} / {math.factorial(k)}D"
+        # He_{k+1}(u) = u He_k(u) - k He_{k-1}(u)
+        lower = [*polynomials[k - 1], 0, 0, 0]
+        polynomials.append([a - k * b for a, b in zip([0, *he], lower, strict=False)])
     return total
 
 
@@ -162,14 +170,8 @@ def kde(
     in_cell = long.join(grids.select(*group, "low", "h"), group)
     in_cell = in_cell.withColumn("cell", F.floor((F.col("value") - F.col("low")) / size))
     offset = (F.col("value") - F.col("low") - (F.col("cell") + 0.5) * size) / F.col("h")
-    powers = {"p0": F.lit(1.0), "p1": offset}
-    in_cell = in_cell.withColumns(powers)
-    moments = [F.sum("p0").alias("m0")]
-    power = F.col("p1")
-    for k in range(1, _MOMENTS):
-        moments.append(F.sum(power).alias(f"m{k}"))
-        power = power * F.col("p1")
-    cells = in_cell.groupBy(*group, "cell").agg(*moments)
+    moments = [F.expr(f"sum({_power('d', k)}) AS m{k}") for k in range(_MOMENTS)]
+    cells = in_cell.withColumn("d", offset).groupBy(*group, "cell").agg(*moments)
 
     placed = cells.join(grids, group).withColumn("centre", F.col("low") + (F.col("cell") + 0.5) * size)
     lowest = F.ceil((F.col("centre") - _REACH * F.col("h") - F.col("first")) / F.col("step"))
@@ -183,7 +185,7 @@ def kde(
     near = placed.withColumn("point", F.explode(F.sequence("from_point", "to_point")))
     near = near.withColumn("u", (F.col("first") + F.col("point") * F.col("step") - F.col("centre")) / F.col("h"))
     sums = near.groupBy(*group, "point").agg(
-        F.sum(F.exp(-0.5 * F.col("u") * F.col("u")) * _hermite_sum(F.col("u"))).alias("kernel_sum")
+        F.expr(f"sum(exp(-0.5D * u * u) * ({_hermite_sum()}))").alias("kernel_sum")
     )
     spine = grids.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     full = spine.join(sums, [*group, "point"], "left")

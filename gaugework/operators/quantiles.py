@@ -10,11 +10,12 @@ good the sketch was; the sketch only decides how little data step 3 has to touch
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.safe import window_by, with_keys
 from gaugework.operators.cleaning import melt
 from gaugework.session import settle
 
@@ -24,9 +25,9 @@ def _cut_points(probs: Sequence[float], accuracy: int) -> list[float]:
     return sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
 
 
-def _slice_of(value: Column, cuts: Column, size: int) -> Column:
-    """How many cuts lie strictly below the value."""
-    return sum(((value > cuts[i]).cast("int") for i in range(size)), F.lit(0))
+def _number_of(tests: Iterable[str]) -> str:
+    """SQL text that counts how many tests hold."""
+    return "(" + " + ".join(f"CAST({t} AS INT)" for t in tests) + ")"
 
 
 def quantiles(
@@ -41,57 +42,51 @@ def quantiles(
 
     ``approximate=True`` stops after the sketch: one pass, values within ``n / accuracy`` ranks.
     """
-    keys, probs = list(keys), list(probs)
+    keys, probs = list(keys), [float(p) for p in probs]
     group = [*keys, "measure"]
-    long = melt(df, keys, measures).dropna(subset=keys) if keys else melt(df, keys, measures)
+    long = melt(with_keys(df, keys), keys, measures)
     if approximate:
-        sketch = F.percentile_approx("value", [float(p) for p in probs], accuracy)
+        sketch = F.percentile_approx("value", probs, accuracy)
         return long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("q"))
 
     points = _cut_points(probs, accuracy)
+    size = len(points)
     sketch = F.percentile_approx("value", points, accuracy)
     cuts = settle(long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("cuts")))
-    size = len(points)
 
-    at_or_below = F.array(*[F.count_if(F.col("value") <= F.col("cuts")[i]) for i in range(size)])
     # Only counts are aggregated here (no arrays), so this stays a hash aggregate.
-    counted = long.join(cuts, group).groupBy(*group).agg(at_or_below.alias("upto")).join(cuts, group)
-
-    # Every quantile needs the values at two neighbouring ranks.
-    ranks = []
-    for p in probs:
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        ranks += [F.floor(position).cast("long"), F.ceil(position).cast("long")]
-    slices = [sum(((F.col("upto")[i] <= r).cast("int") for i in range(size)), F.lit(0)) for r in ranks]
-    befores = [F.when(s == 0, F.lit(0)).otherwise(F.try_element_at("upto", s)) for s in slices]
-    wanted = settle(
-        counted.select(
-            *group, "n", "cuts",
-            F.array(*ranks).alias("ranks"),
-            F.array(*slices).alias("slices"),
-            F.array(*befores).alias("before"),
-        )
-    )
+    upto = ", ".join(f"count_if(value <= cuts[{i}])" for i in range(size))
+    counted = long.join(cuts, group).groupBy(*group).agg(F.expr(f"array({upto})").alias("upto")).join(cuts, group)
+
+    # Every quantile needs the values at two neighbouring ranks. A rank lies in the
+    # slice after all the cuts that have at most that many values up to them.
+    positions = [f"({p!r}D * (n - 1))" for p in probs]
+    ranks = [f"CAST({side}({p}) AS BIGINT)" for p in positions for side in ("floor", "ceil")]
+    slice_of = _number_of(f"upto[{i}] <= r" for i in range(size))
+    wanted = counted.selectExpr(*_quoted(group), "n", "cuts", "upto", f"array({', '.join(ranks)}) AS ranks")
+    wanted = wanted.withColumn("slices", F.expr(f"transform(ranks, r -> {slice_of})"))
+    wanted = wanted.withColumn("before", F.expr("transform(slices, s -> if(s = 0, 0, upto[greatest(s, 1) - 1]))"))
+    wanted = settle(wanted.drop("upto"))
 
     located = long.join(wanted.select(*group, "cuts", "slices"), group)
-    located = located.withColumn("slice", _slice_of(F.col("value"), F.col("cuts"), size))
-    thin = located.where(F.array_contains("slices", F.col("slice")))
+    located = located.withColumn("slice", F.expr(_number_of(f"value > cuts[{i}]" for i in range(size))))
+    thin = located.where("array_contains(slices, slice)")
     values = thin.groupBy(*group, "slice", "value").agg(F.count("*").alias("copies"))
-    through = F.sum("copies").over(Window.partitionBy(*group, "slice").orderBy("value"))
+    through = F.sum("copies").over(window_by([*group, "slice"], "value"))
     ranked = values.withColumn("through", through)
 
-    def value_at(t: int) -> Column:
-        rank, start = F.col("ranks")[t], F.col("before")[t]
-        last = start + F.col("through")
-        hit = (F.col("slice") == F.col("slices")[t]) & (rank < last) & (rank >= last - F.col("copies"))
-        return F.max(F.when(hit, F.col("value")))
-
-    picked = ranked.join(wanted.drop("cuts"), group).groupBy(*group).agg(
-        F.max("n").alias("n"), F.array(*[value_at(t) for t in range(len(ranks))]).alias("v")
+    at_rank = ", ".join(
+        f"max(CASE WHEN slice = slices[{t}] AND ranks[{t}] < before[{t}] + through"
+        f" AND ranks[{t}] >= before[{t}] + through - copies THEN value END)"
+        for t in range(len(ranks))
     )
-    interpolated = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col("v")[2 * i], F.col("v")[2 * i + 1]
-        interpolated.append(low + (high - low) * (position - F.floor(position)))
-    return picked.select(*group, "n", F.array(*interpolated).alias("q"))
+    picked = ranked.join(wanted.drop("cuts"), group).groupBy(*group)
+    picked = picked.agg(F.max("n").alias("n"), F.expr(f"array({at_rank})").alias("v"))
+    interpolated = ", ".join(
+        f"v[{2 * i}] + (v[{2 * i + 1}] - v[{2 * i}]) * ({p} - floor({p}))" for i, p in enumerate(positions)
+    )
+    return picked.select(*group, "n", F.expr(f"array({interpolated})").alias("q"))
+
+
+def _quoted(names: Iterable[str]) -> list[str]:
+    return [f"`{n}`" for n in names]

@@ -175,19 +175,19 @@ def rolling_corr(
     ``min_pairs - 1`` positions of a series are null.
     """
     if grain == "month":
-        at = month_end(time)
+        at, moment = "month_end", month_end(time)
     elif grain == "time":
-        at = F.col(time)
+        at, moment = time, F.col(time)
     else:
         raise ValueError(f"unknown grain {grain!r}")
     values = [F.avg(nan_to_null(F.col(m).cast("double"))).alias(m) for m in (a, b)]
-    pairs = with_keys(df, [*keys, time]).groupBy(*keys, at.alias("at")).agg(*values).dropna(subset=[a, b])
+    pairs = with_keys(df, [*keys, time]).groupBy(*keys, moment.alias(at)).agg(*values).dropna(subset=[a, b])
     # From here on a series has one row per month (or distinct time).
     pairs = pairs.withColumn("pairs", F.count("*").over(Window.partitionBy(*keys))).where(F.col("pairs") > more_than)
-    last = window_by(keys, "at").rowsBetween(-(window - 1), 0)
+    last = window_by(keys, at).rowsBetween(-(window - 1), 0)
     enough = F.count("*").over(last) >= min_pairs
     corr = F.when(enough, pair_corr(a, b, last))
-    return pairs.select(*keys, "at", a, b, corr.alias("rolling_corr"))
+    return pairs.select(*keys, at, a, b, corr.alias("rolling_corr"))
 
 
 def zscore_spikes(
