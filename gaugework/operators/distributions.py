@@ -14,7 +14,7 @@ from gaugework.functions.safe import nan_to_null, ratio, with_keys
 from gaugework.operators.cleaning import melt
 from gaugework.operators.joins import lookup, one_row
 from gaugework.operators.quantiles import quantiles
-from gaugework.session import settle
+from gaugework.session import settle, spread
 
 
 def _long(df: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -307,7 +307,7 @@ def _bootstrap_means(rows: DataFrame, keys: Sequence[str], replicates: int, seed
                 yield out
 
     key_types = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
-    partial = cells.mapInPandas(weigh, f"{key_types}, w array<double>, wx array<double>")
+    partial = spread(cells, [*keys, "value"]).mapInPandas(weigh, f"{key_types}, w array<double>, wx array<double>")
     pairs = partial.select(*keys, F.posexplode(F.arrays_zip("w", "wx")).alias("replicate", "pair"))
     sums = pairs.groupBy(*keys, "replicate").agg(F.sum("pair.w").alias("w"), F.sum("pair.wx").alias("wx"))
     return sums.select(*keys, ratio(F.col("wx"), F.col("w")).alias("mean_b")).where(F.col("mean_b").isNotNull())

@@ -86,13 +86,16 @@ def _merge_round(nearest: DataFrame) -> DataFrame:
     def either(merged, alone):
         return F.when(F.col("mutual"), merged).otherwise(alone)
 
-    return paired.select(
+    # The new columns get names of their own: inside a lambda, a name that is also an
+    # alias of the same select would mean the alias.
+    merged = paired.select(
         "id",
-        either(both, F.col("size")).alias("size"),
-        either(mixed, F.col("centre")).alias("centre"),
+        either(both, F.col("size")).alias("new_size"),
+        either(mixed, F.col("centre")).alias("new_centre"),
         either(F.col("other"), F.lit(None)).cast("long").alias("gone"),
-        either(F.col("height"), F.lit(None)).cast("double").alias("height"),
+        either(F.col("height"), F.lit(None)).cast("double").alias("merge_height"),
     )
+    return merged.toDF("id", "size", "centre", "gone", "height")
 
 
 def ward_linkage(profile: DataFrame, key: str, measures: Sequence[str], block: int = 500) -> DataFrame:

@@ -86,7 +86,8 @@ def settle(df: DataFrame) -> DataFrame:
 
     A plain join against the result is then broadcast by Catalyst only when the
     measured size is below ``spark.sql.autoBroadcastJoinThreshold``; a larger one is
-    joined by a shuffle, which adaptive execution splits where a key is hot.
+    joined by a shuffle, which adaptive execution splits where a key is hot. What is
+    kept has one row per key; ``spark.catalog.clearCache()`` lets go of it.
     """
     kept = df.persist()
     kept.count()

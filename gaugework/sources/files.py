@@ -45,7 +45,8 @@ def write_table(df: DataFrame, path: str, time: str | None = None) -> None:
         df.write.mode("overwrite").parquet(path)
         return
     yearly = df.withColumn("year", F.year(time))
-    yearly.repartition("year", F.expr("pmod(hash(*), 64)")).write.mode("overwrite").partitionBy("year").parquet(path)
+    salt = F.pmod(F.hash(*yearly.columns), F.lit(64))
+    yearly.repartition("year", salt).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def export_filtered(df: DataFrame, selection: Selection, path: str) -> DataFrame:
