@@ -209,6 +209,11 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
     box = points.agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
+    for axis in "xy":
+        # A constant axis is widened by a tenth of its value.
+        low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
+        room = F.when(low == high, F.when(low == 0, 0.1).otherwise(F.abs(low) * 0.1)).otherwise(0.0)
+        box = box.withColumn("room", room).withColumns({f"{axis}0": low - F.col("room"), f"{axis}1": high + F.col("room")})
     pad = (F.col("x1") - F.col("x0")) * 1e-9
     box = box.select(
         (F.col("x0") - pad).alias("x0"),
@@ -224,6 +229,7 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
         }
     )
     # One lattice has its centres on the grid corners, the other in the middle of the cells.
+    # A point on the upper border is always nearer to a corner, so no cell lies outside.
     corner_x, corner_y = F.rint("gx"), F.rint("gy")
     middle_x, middle_y = F.floor("gx").cast("double"), F.floor("gy").cast("double")
     to_corner = F.pow(F.col("gx") - corner_x, F.lit(2)) + 3.0 * F.pow(F.col("gy") - corner_y, F.lit(2))
@@ -234,7 +240,6 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
         F.when(on_corner, corner_x).otherwise(middle_x).cast("int").alias("ix"),
         F.when(on_corner, corner_y).otherwise(middle_y).cast("int").alias("iy"),
     )
-    cells = cells.where((F.col("lattice") == 1) | ((F.col("ix") < nx) & (F.col("iy") < ny)))
     counts = cells.groupBy("lattice", "ix", "iy").agg(F.count("*").alias("n")).withColumn("box", frame)
     shift = F.when(F.col("lattice") == 2, 0.5).otherwise(0.0)
     return counts.select(

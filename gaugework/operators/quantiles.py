@@ -10,12 +10,13 @@ good the sketch was; the sketch only decides how little data step 3 has to touch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.safe import window_by, with_keys
+from gaugework.functions.safe import nan_to_null, window_by, with_keys
 from gaugework.operators.cleaning import melt
 from gaugework.session import settle
 
@@ -44,29 +45,28 @@ def quantiles(
     """
     keys, probs = list(keys), [float(p) for p in probs]
     group = [*keys, "measure"]
-    long = melt(with_keys(df, keys), keys, measures)
+    clean = with_keys(df, keys).select(*keys, *[nan_to_null(F.col(m).cast("double")).alias(m) for m in measures])
+    long = melt(clean, keys, measures)
     if approximate:
         sketch = F.percentile_approx("value", probs, accuracy)
         return long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("q"))
 
     points = _cut_points(probs, accuracy)
     size = len(points)
-    sketch = F.percentile_approx("value", points, accuracy)
-    cuts = settle(long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("cuts")))
-
-    # Only counts are aggregated here (no arrays), so this stays a hash aggregate.
-    upto = ", ".join(f"count_if(value <= cuts[{i}])" for i in range(size))
-    counted = long.join(cuts, group).groupBy(*group).agg(F.expr(f"array({upto})").alias("upto")).join(cuts, group)
+    positions = [f"({p!r}D * (n - 1))" for p in probs]
+    if keys:
+        counted = _count_by_key(long, group, points, accuracy)
+    else:
+        counted, long = _count_whole(clean, measures, points, probs, accuracy)
 
     # Every quantile needs the values at two neighbouring ranks. A rank lies in the
     # slice after all the cuts that have at most that many values up to them.
-    positions = [f"({p!r}D * (n - 1))" for p in probs]
     ranks = [f"CAST({side}({p}) AS BIGINT)" for p in positions for side in ("floor", "ceil")]
     slice_of = _number_of(f"upto[{i}] <= r" for i in range(size))
-    wanted = counted.selectExpr(*_quoted(group), "n", "cuts", "upto", f"array({', '.join(ranks)}) AS ranks")
+    wanted = counted.select(*group, "n", "cuts", "upto", F.expr(f"array({', '.join(ranks)})").alias("ranks"))
     wanted = wanted.withColumn("slices", F.expr(f"transform(ranks, r -> {slice_of})"))
     wanted = wanted.withColumn("before", F.expr("transform(slices, s -> if(s = 0, 0, upto[greatest(s, 1) - 1]))"))
-    wanted = settle(wanted.drop("upto"))
+    wanted = settle(wanted.drop("upto")) if keys else wanted.drop("upto")
 
     located = long.join(wanted.select(*group, "cuts", "slices"), group)
     located = located.withColumn("slice", F.expr(_number_of(f"value > cuts[{i}]" for i in range(size))))
@@ -88,5 +88,43 @@ def quantiles(
     return picked.select(*group, "n", F.expr(f"array({interpolated})").alias("q"))
 
 
-def _quoted(names: Iterable[str]) -> list[str]:
-    return [f"`{n}`" for n in names]
+def _count_by_key(long: DataFrame, group: list[str], points: list[float], accuracy: int) -> DataFrame:
+    """n, cuts and the exact number of values up to each cut, per group."""
+    sketch = F.percentile_approx("value", points, accuracy)
+    cuts = settle(long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("cuts")))
+    # Only counts are aggregated here (no arrays), so this stays a hash aggregate.
+    upto = ", ".join(f"count_if(value <= cuts[{i}])" for i in range(len(points)))
+    return long.join(cuts, group).groupBy(*group).agg(F.expr(f"array({upto})").alias("upto")).join(cuts, group)
+
+
+def _count_whole(
+    wide: DataFrame, measures: Sequence[str], points: list[float], probs: list[float], accuracy: int
+) -> tuple[DataFrame, DataFrame]:
+    """The same for whole columns, and the long table of the values that can matter.
+
+    All columns share each pass. The cuts (a few numbers per column) become literals, so
+    the rows are neither multiplied nor joined.
+    """
+    sketches = [F.percentile_approx(m, points, accuracy).alias(f"cuts_{m}") for m in measures]
+    first = wide.agg(*[F.count(m).alias(f"n_{m}") for m in measures], *sketches).collect()[0]
+    seen = [m for m in measures if first[f"n_{m}"]]
+    tests = [f"count_if(`{m}` <= {_literal(c)})" for m in seen for c in first[f"cuts_{m}"]]
+    counts = list(wide.selectExpr(*tests).collect()[0]) if tests else []
+    rows, kept = [], []
+    for k, m in enumerate(seen):
+        n, cuts, upto = first[f"n_{m}"], first[f"cuts_{m}"], counts[k * len(points) : (k + 1) * len(points)]
+        rows.append((m, n, cuts, upto))
+        ranks = {side(p * (n - 1)) for p in probs for side in (math.floor, math.ceil)}
+        edges = [None, *cuts, None]
+        inside = []
+        for s in {sum(u <= r for u in upto) for r in ranks}:
+            low = [] if edges[s] is None else [f"`{m}` > {_literal(edges[s])}"]
+            high = [] if edges[s + 1] is None else [f"`{m}` <= {_literal(edges[s + 1])}"]
+            inside.append(f"({' AND '.join(low + high)})")
+        kept.append(F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m))
+    counted = wide.sparkSession.createDataFrame(rows, "measure string, n long, cuts array<double>, upto array<long>")
+    return counted, melt(wide.select(*kept), [], seen) if seen else melt(wide, [], measures)
+
+
+def _literal(x: float) -> str:
+    return f"double('{x!r}')"

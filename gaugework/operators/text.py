@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators.joins import one_row
+from gaugework.session import cut_lineage
 
 # A word is a letter, digit or underscore followed by more of them or apostrophes.
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
@@ -31,7 +32,7 @@ STOP_WORDS = (
 def words_of(text: str | Column) -> Column:
     """Words in order, lower case, without a trailing 's and without plain numbers."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, "'s$", ""))
+    bare = F.transform(found, lambda w: F.when(w.endswith("'s"), F.left(w, F.length(w) - 2)).otherwise(w))
     return F.filter(bare, lambda w: ~w.rlike(r"^\p{Nd}+$"))
 
 
@@ -45,7 +46,8 @@ def token_counts(
 
     ``merge_plurals`` adds the count of ``words`` to ``word`` when both occur.
     """
-    words = df.where(F.col(text).isNotNull()).select(F.explode(words_of(text)).alias("word"))
+    # The outer form keeps Catalyst from splitting every text twice to test for empty lists.
+    words = df.select(F.explode_outer(words_of(text)).alias("word")).where(F.col("word").isNotNull())
     counts = words.where(~F.col("word").isin(*stopwords)).groupBy("word").agg(F.count("*").alias("n"))
     if not merge_plurals:
         return counts
@@ -57,15 +59,19 @@ def token_counts(
     return merged.groupBy(name.alias("word")).agg(F.sum("n").alias("n"))
 
 
-def pair_counts(df: DataFrame, text: str, stopwords: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """Frequency of neighbouring words within a row, neither of them a stop word."""
-    words = df.where(F.col(text).isNotNull()).select(words_of(text).alias("words"))
-    words = words.where(F.size("words") > 1)
-    shifted = F.slice("words", F.lit(2), F.size("words") - 1)
-    pairs = words.select(F.inline(F.arrays_zip(F.col("words").alias("first"), shifted.alias("second"))))
-    kept = pairs.where(F.col("second").isNotNull())
-    kept = kept.where(~F.col("first").isin(*stopwords) & ~F.col("second").isin(*stopwords))
-    return kept.groupBy("first", "second").agg(F.count("*").alias("n"))
+def neighbour_counts(df: DataFrame, text: str, stopwords: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """Frequency of every word (no stop words) together with the word after it.
+
+    The follower is null at the end of a row and where it is a stop word. Both word and
+    pair frequencies are sums over this table. It is written to the shared folder, so
+    that the texts are split only once.
+    """
+    words = df.select(words_of(text).alias("words"))
+    following = F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(0)))
+    pairs = words.select(F.inline_outer(F.arrays_zip(F.col("words").alias("first"), following.alias("second"))))
+    pairs = pairs.where(F.col("first").isNotNull() & ~F.col("first").isin(*stopwords))
+    pairs = pairs.withColumn("second", F.when(~F.col("second").isin(*stopwords), F.col("second")))
+    return cut_lineage(pairs.groupBy("first", "second").agg(F.count("*").alias("n")), "neighbours")
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -80,11 +86,21 @@ def collocations(
     threshold: float = 30.0,
 ) -> DataFrame:
     """Neighbouring word pairs whose log-likelihood ratio (Dunning) exceeds ``threshold``."""
-    unigrams = token_counts(df, text, stopwords)
+    pairs, unigrams = _pairs_and_words(neighbour_counts(df, text, stopwords))
+    return _scored(pairs, unigrams, threshold)
+
+
+def _pairs_and_words(neighbours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pair counts, and the counts of the single words."""
+    words = neighbours.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("n"))
+    return neighbours.where(F.col("second").isNotNull()), words
+
+
+def _scored(pairs: DataFrame, unigrams: DataFrame, threshold: float) -> DataFrame:
     total = one_row(unigrams.agg(F.sum("n").alias("total")))["total"]
     firsts = unigrams.select(F.col("word").alias("first"), F.col("n").alias("n_first"))
     seconds = unigrams.select(F.col("word").alias("second"), F.col("n").alias("n_second"))
-    pairs = pair_counts(df, text, stopwords).join(firsts, "first").join(seconds, "second")
+    pairs = pairs.join(firsts, "first").join(seconds, "second")
     pairs = pairs.withColumn("total", total.cast("double"))
     both, c1, c2, size = F.col("n").cast("double"), F.col("n_first"), F.col("n_second"), F.col("total")
     p, p1, p2 = ratio_of(c2, size), ratio_of(both, c1), ratio_of(c2 - both, size - c1)
@@ -106,9 +122,10 @@ def phrase_counts(
     threshold: float = 30.0,
 ) -> DataFrame:
     """Words and collocations together: a word inside a collocation is not counted twice."""
-    pairs = collocations(df, text, stopwords, threshold)
+    candidates, words = _pairs_and_words(neighbour_counts(df, text, stopwords))
+    pairs = _scored(candidates, words, threshold)
     used = pairs.select(F.explode(F.array("first", "second")).alias("word"), (-F.col("n")).alias("n"))
-    singles = token_counts(df, text, stopwords).unionByName(used)
+    singles = words.unionByName(used)
     singles = singles.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
     phrases = pairs.select(F.concat_ws(" ", "first", "second").alias("word"), "n")
     return singles.unionByName(phrases)

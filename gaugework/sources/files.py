@@ -25,9 +25,13 @@ def read_observations(spark: SparkSession, path: str, encoding: str = "ISO-8859-
         raise
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet twin of ``read_observations``: typed, with column pruning and filter pushdown."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet twin of ``read_observations``: typed, with column pruning and filter pushdown.
+
+    With a schema no file is opened while planning.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
