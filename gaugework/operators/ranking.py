@@ -49,16 +49,32 @@ def sample_n(
     """Exactly ``min(n, rows)`` rows without replacement, the same ones on every run.
 
     Rows are ordered by a seeded hash of ``key`` (all columns when there is no
-    unique key), so the choice does not depend on how the data is partitioned and
-    only ``n`` rows per partition are ever kept. ``portable`` uses MD5, which other
-    engines can repeat.
+    unique key), so the choice does not depend on how the data is partitioned.
+    ``portable`` uses MD5, which other engines can repeat.
+
+    A first pass counts the rows per leading 16 bits of the hash and finds how far the
+    smallest ``n`` reach; only the rows up to there are sorted. Equal rows are merged
+    before that, so many copies of one row cost no more than one.
     """
     columns = [F.col(c) for c in (key or df.columns)]
     if portable:
         draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in columns]))
+        lead = F.conv(F.substring(draw, 1, 4), 16, 10).cast("int")
     else:
         draw = F.xxhash64(F.lit(seed), *columns)
-    return df.orderBy(draw, *columns).limit(n)
+        lead = F.shiftright(draw, 48).cast("int")
+    counts = df.groupBy(lead.alias("lead")).agg(F.count("*").alias("rows"))
+    # At most 65,536 rows are sorted in this task.
+    through = F.sum("rows").over(Window.orderBy("lead"))
+    reach = counts.withColumn("through", through).where(F.col("through") - F.col("rows") < n)
+    near = df.where(lead <= reach.agg(F.max("lead").alias("lead")).scalar())
+    merged = near.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    first = merged.orderBy(draw, *columns).limit(n)
+    # From here on there are at most n rows.
+    before = F.sum("_copies").over(Window.orderBy(draw, *columns)) - F.col("_copies")
+    taken = first.withColumn("_taken", F.least(F.col("_copies"), n - before)).where("_taken > 0")
+    repeated = F.explode(F.sequence(F.lit(1), F.col("_taken").cast("int")))
+    return taken.select(*df.columns, repeated.alias("_copy")).drop("_copy")
 
 
 def first_k_values(df: DataFrame, column: str, k: int = 6) -> DataFrame:

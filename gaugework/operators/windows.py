@@ -44,12 +44,13 @@ def rolling_mean_time(
     points = rows.groupBy(*keys, "at").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
     points = points.withColumn("us", wall_micros("at"))
 
-    def sliced(source: DataFrame) -> DataFrame:
-        return source.withColumn("slice", F.floor(F.col("us") / grain).cast("long"))
-
-    own = sliced(points).withColumn("own", F.lit(True))
-    # A point leaves the window exactly ``width`` after its time: seen from there it is tail.
-    expired = sliced(points.withColumn("us", F.col("us") + width)).withColumn("own", F.lit(False))
+    # A point enters the window at its time and leaves it exactly ``width`` later: seen
+    # from there it is tail. Both rows come from one list, so that the aggregate above is
+    # shared by all its uses.
+    enters = F.struct(F.col("us").alias("us"), F.lit(True).alias("own"))
+    leaves = F.struct((F.col("us") + width).alias("us"), F.lit(False).alias("own"))
+    moves = points.select(*keys, "at", "s", "c", F.inline(F.array(enters, leaves)))
+    moves = moves.withColumn("slice", F.floor(F.col("us") / grain).cast("long"))
     in_slice = Window.partitionBy(*keys, "slice").orderBy("us")
     head = in_slice.rangeBetween(Window.unboundedPreceding, 0)
     tail = in_slice.rangeBetween(1, Window.unboundedFollowing)
@@ -57,7 +58,7 @@ def rolling_mean_time(
     def side(is_own: bool, column: str) -> Column:
         return F.sum(F.when(F.col("own") == is_own, F.col(column)).otherwise(0))
 
-    edges = own.unionByName(expired).withColumns(
+    edges = moves.withColumns(
         {
             "s_edge": side(True, "s").over(head) + F.coalesce(side(False, "s").over(tail), F.lit(0.0)),
             "c_edge": side(True, "c").over(head) + F.coalesce(side(False, "c").over(tail), F.lit(0)),
@@ -65,7 +66,7 @@ def rolling_mean_time(
     )
     edges = edges.where("own")
 
-    totals = sliced(points).groupBy(*keys, "slice").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    totals = moves.where("own").groupBy(*keys, "slice").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     between = Window.partitionBy(*keys).orderBy("slice").rangeBetween(-(slices - 1), -1)
     middle = totals.select(
         *keys,

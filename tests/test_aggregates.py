@@ -105,6 +105,13 @@ def test_sample_is_exact_repeatable_and_partition_invariant(spark):
     assert a == b and len(a) == 100
     assert a != rows(ranking.sample_n(df, 100, seed=1, key=["id"]))
     assert ranking.sample_n(df.limit(30), 100).count() == 30
+    # A third of all rows are copies of one row.
+    copies = df.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("v"))
+    for seed in range(4):
+        assert ranking.sample_n(copies, 100, seed).count() == 100
+    assert ranking.sample_n(copies, 10_000).count() == 5000
+    want = df.withColumn("d", F.xxhash64(F.lit(42), "id")).orderBy("d").limit(100).select("id", "v")
+    assert rows(want) == a
 
 
 def test_topk_ties(spark):
