@@ -17,6 +17,7 @@ from gaugework.functions.temporal import month_end
 from gaugework.operators.cleaning import melt
 from gaugework.operators.joins import one_row
 from gaugework.operators.quantiles import quantiles
+from gaugework.session import settle
 
 
 def _stack(df: DataFrame, keys: Sequence[str], rows: Sequence[dict[str, Column]]) -> DataFrame:
@@ -67,6 +68,13 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFram
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def value_counts_all(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frequencies of several columns in one pass, as (column, value, n); nulls included."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    pairs = df.select(F.inline(F.array(*cells)))
+    return pairs.groupBy("column", "value").agg(F.count("*").alias("n")).orderBy("column", F.desc("n"), "value")
+
+
 def distinct_count(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Number of distinct non-null values per column."""
     count = F.approx_count_distinct if approximate else F.count_distinct
@@ -230,6 +238,7 @@ def rank_names(names: DataFrame, column: str, prefix: int = 2) -> DataFrame:
 
 def flow_nodes(edges: DataFrame) -> DataFrame:
     """Node list: sources first, then targets, each in sorted order."""
+    edges = settle(edges)
     left = rank_names(edges, "source").select(F.col("source").alias("name"), "index", F.lit("source").alias("side"))
     right = rank_names(edges, "target").select(F.col("target").alias("name"), "index", F.lit("target").alias("side"))
     shift = one_row(edges.agg(F.count_distinct("source").alias("sources")))["sources"]
@@ -238,7 +247,8 @@ def flow_nodes(edges: DataFrame) -> DataFrame:
 
 def flow_links(edges: DataFrame) -> DataFrame:
     """Edges with the node positions of both ends."""
-    nodes = flow_nodes(edges)
+    edges = settle(edges)
+    nodes = settle(flow_nodes(edges))
     sources = nodes.where("side = 'source'").select(F.col("name").alias("source"), F.col("index").alias("source_index"))
     targets = nodes.where("side = 'target'").select(F.col("name").alias("target"), F.col("index").alias("target_index"))
     return edges.join(sources, "source").join(targets, "target")

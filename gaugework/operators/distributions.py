@@ -278,8 +278,11 @@ def mean_ci_by(
         )
     if method != "bootstrap":
         raise ValueError(f"unknown method {method!r}")
-    means = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    resampled = _bootstrap_means(rows, keys, replicates, seed)
+    # Equal values are merged first; everything else is computed from these cells.
+    cells = rows.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
+    weighted = F.sum(F.col("value") * F.col("copies")) / F.sum("copies")
+    means = cells.groupBy(*keys).agg(F.sum("copies").alias("n"), weighted.alias("mean"))
+    resampled = _bootstrap_means(cells, keys, replicates, seed)
     # At most ``replicates`` values per key are left here.
     ends = resampled.groupBy(*keys).agg(F.percentile("mean_b", [0.025, 0.975]).alias("q"))
     several = F.col("n") > 1
@@ -288,14 +291,13 @@ def mean_ci_by(
     )
 
 
-def _bootstrap_means(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
+def _bootstrap_means(cells: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """Poisson bootstrap: each distinct value gets a random weight per replicate.
 
-    Equal values are merged first (``c`` copies draw one Poisson(c) weight), and every
-    Arrow batch is reduced to weight sums per key before anything is shuffled.
+    ``c`` copies of a value draw one Poisson(c) weight, and every Arrow batch is reduced
+    to weight sums per key before anything is shuffled.
     """
     keys = list(keys)
-    cells = rows.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
     cells = cells.withColumn("draw", F.xxhash64(F.lit(seed), *keys, "value"))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,7 +313,7 @@ def _bootstrap_means(rows: DataFrame, keys: Sequence[str], replicates: int, seed
                 out["wx"] = [(weights[i] * values[i, None]).sum(axis=0) for i in groups.values()]
                 yield out
 
-    key_types = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+    key_types = ", ".join(f"`{k}` {dict(cells.dtypes)[k]}" for k in keys)
     partial = spread(cells, [*keys, "value"]).mapInPandas(weigh, f"{key_types}, w array<double>, wx array<double>")
     pairs = partial.select(*keys, F.posexplode(F.arrays_zip("w", "wx")).alias("replicate", "pair"))
     sums = pairs.groupBy(*keys, "replicate").agg(F.sum("pair.w").alias("w"), F.sum("pair.wx").alias("wx"))

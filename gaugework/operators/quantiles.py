@@ -1,17 +1,19 @@
 """Exact quantiles without holding a group's values in one task.
 
 1. A mergeable sketch gives a few cut values around every wanted quantile.
-2. One aggregate counts, exactly, how many values lie at or below each cut.
-3. Only the thin slices that hold a wanted rank are grouped by value and ranked.
+2. One aggregate counts, exactly, how many values lie below and up to each cut.
+3. A rank that falls on a cut value is answered by it. Otherwise it lies between two
+   cuts, and only the values in there are grouped by value and ranked.
 
-The counts of step 2 decide which slice is used, so the result is exact however
-good the sketch was; the sketch only decides how little data step 3 has to touch.
+The counts of step 2 decide where a rank lies, so the result is exact however good the
+sketch was; the sketch only decides how little data step 3 has to touch.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,29 +61,34 @@ def quantiles(
     else:
         counted, long = _count_whole(clean, measures, points, probs, accuracy)
 
-    # Every quantile needs the values at two neighbouring ranks. A rank lies in the
-    # slice after all the cuts that have at most that many values up to them.
+    # Every quantile needs the values at two neighbouring ranks. Place 2i is the open
+    # interval below cut i and place 2i + 1 the cut itself; a rank lies at the place after
+    # all those that end at or before it.
     ranks = [f"CAST({side}({p}) AS BIGINT)" for p in positions for side in ("floor", "ceil")]
-    slice_of = _number_of(f"upto[{i}] <= r" for i in range(size))
+    place_of = _number_of(f"upto[{i}] <= r" for i in range(2 * size))
     wanted = counted.select(*group, "n", "cuts", "upto", F.expr(f"array({', '.join(ranks)})").alias("ranks"))
-    wanted = wanted.withColumn("slices", F.expr(f"transform(ranks, r -> {slice_of})"))
-    wanted = wanted.withColumn("before", F.expr("transform(slices, s -> if(s = 0, 0, upto[greatest(s, 1) - 1]))"))
+    wanted = wanted.withColumn("places", F.expr(f"transform(ranks, r -> {place_of})"))
+    wanted = wanted.withColumn("before", F.expr("transform(places, s -> if(s = 0, 0, upto[greatest(s, 1) - 1]))"))
     wanted = settle(wanted.drop("upto")) if keys else wanted.drop("upto")
 
-    located = long.join(wanted.select(*group, "cuts", "slices"), group)
-    located = located.withColumn("slice", F.expr(_number_of(f"value > cuts[{i}]" for i in range(size))))
-    thin = located.where("array_contains(slices, slice)")
-    values = thin.groupBy(*group, "slice", "value").agg(F.count("*").alias("copies"))
-    through = F.sum("copies").over(window_by([*group, "slice"], "value"))
+    located = long.join(wanted.select(*group, "cuts", "places"), group)
+    sides = [f"value {side} cuts[{i}]" for i in range(size) for side in (">=", ">")]
+    located = located.withColumn("place", F.expr(_number_of(sides)))
+    thin = located.where("place % 2 = 0 AND array_contains(places, place)")
+    values = thin.groupBy(*group, "place", "value").agg(F.count("*").alias("copies"))
+    through = F.sum("copies").over(window_by([*group, "place"], "value"))
     ranked = values.withColumn("through", through)
 
     at_rank = ", ".join(
-        f"max(CASE WHEN slice = slices[{t}] AND ranks[{t}] < before[{t}] + through"
+        f"max(CASE WHEN place = places[{t}] AND ranks[{t}] < before[{t}] + through"
         f" AND ranks[{t}] >= before[{t}] + through - copies THEN value END)"
         for t in range(len(ranks))
     )
-    picked = ranked.join(wanted.drop("cuts"), group).groupBy(*group)
-    picked = picked.agg(F.max("n").alias("n"), F.expr(f"array({at_rank})").alias("v"))
+    between = ranked.join(wanted.select(*group, "ranks", "places", "before"), group).groupBy(*group)
+    between = between.agg(F.expr(f"array({at_rank})").alias("found"))
+    picked = wanted.join(between, group, "left").withColumn(
+        "v", F.expr("transform(places, (s, t) -> if(s % 2 = 1, cuts[(s - 1) div 2], found[t]))")
+    )
     interpolated = ", ".join(
         f"v[{2 * i}] + (v[{2 * i + 1}] - v[{2 * i}]) * ({p} - floor({p}))" for i, p in enumerate(positions)
     )
@@ -89,11 +96,15 @@ def quantiles(
 
 
 def _count_by_key(long: DataFrame, group: list[str], points: list[float], accuracy: int) -> DataFrame:
-    """n, cuts and the exact number of values up to each cut, per group."""
+    """n, cuts and the exact number of values below and up to each cut, per group."""
     sketch = F.percentile_approx("value", points, accuracy)
     cuts = settle(long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("cuts")))
     # Only counts are aggregated here (no arrays), so this stays a hash aggregate.
-    upto = ", ".join(f"count_if(value <= cuts[{i}])" for i in range(len(points)))
+    # A repeated cut leaves nothing below itself that its first copy has not counted.
+    tests = ["value < cuts[0]", "value <= cuts[0]"]
+    for i in range(1, len(points)):
+        tests += [f"value < cuts[{i}] OR value <= cuts[{i - 1}]", f"value <= cuts[{i}]"]
+    upto = ", ".join(f"count_if({t})" for t in tests)
     return long.join(cuts, group).groupBy(*group).agg(F.expr(f"array({upto})").alias("upto")).join(cuts, group)
 
 
@@ -108,20 +119,28 @@ def _count_whole(
     sketches = [F.percentile_approx(m, points, accuracy).alias(f"cuts_{m}") for m in measures]
     first = wide.agg(*[F.count(m).alias(f"n_{m}") for m in measures], *sketches).collect()[0]
     seen = [m for m in measures if first[f"n_{m}"]]
-    tests = [f"count_if(`{m}` <= {_literal(c)})" for m in seen for c in first[f"cuts_{m}"]]
+    tests = []
+    for m in seen:
+        for low, cut in pairwise([None, *first[f"cuts_{m}"]]):
+            tests += [f"count_if(`{m}` {'<=' if low == cut else '<'} {_literal(cut)})", f"count_if(`{m}` <= {_literal(cut)})"]
     counts = list(wide.selectExpr(*tests).collect()[0]) if tests else []
-    rows, kept = [], []
+    rows, kept, width = [], [], 2 * len(points)
     for k, m in enumerate(seen):
-        n, cuts, upto = first[f"n_{m}"], first[f"cuts_{m}"], counts[k * len(points) : (k + 1) * len(points)]
+        n, cuts, upto = first[f"n_{m}"], first[f"cuts_{m}"], counts[k * width : (k + 1) * width]
         rows.append((m, n, cuts, upto))
         ranks = {side(p * (n - 1)) for p in probs for side in (math.floor, math.ceil)}
         edges = [None, *cuts, None]
         inside = []
-        for s in {sum(u <= r for u in upto) for r in ranks}:
-            low = [] if edges[s] is None else [f"`{m}` > {_literal(edges[s])}"]
-            high = [] if edges[s + 1] is None else [f"`{m}` <= {_literal(edges[s + 1])}"]
-            inside.append(f"({' AND '.join(low + high)})")
-        kept.append(F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m))
+        for place in {sum(u <= r for u in upto) for r in ranks}:
+            if place % 2 == 0:
+                low, high = edges[place // 2], edges[place // 2 + 1]
+                above = [] if low is None else [f"`{m}` > {_literal(low)}"]
+                below = [] if high is None else [f"`{m}` < {_literal(high)}"]
+                inside.append(f"({' AND '.join(above + below)})")
+        if inside:
+            kept.append(F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m))
+        else:
+            kept.append(F.lit(None).cast("double").alias(m))
     counted = wide.sparkSession.createDataFrame(rows, "measure string, n long, cuts array<double>, upto array<long>")
     return counted, melt(wide.select(*kept), [], seen) if seen else melt(wide, [], measures)
 

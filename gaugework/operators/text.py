@@ -51,12 +51,12 @@ def token_counts(
     counts = words.where(~F.col("word").isin(*stopwords)).groupBy("word").agg(F.count("*").alias("n"))
     if not merge_plurals:
         return counts
-    plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss")
-    marked = counts.withColumn("singular", F.when(plural, F.expr("substring(word, 1, length(word) - 1)")))
-    known = counts.select(F.col("word").alias("singular"), F.lit(True).alias("known"))
-    merged = marked.join(known, "singular", "left")
-    name = F.when(F.col("known"), F.col("singular")).otherwise(F.col("word"))
-    return merged.groupBy(name.alias("word")).agg(F.sum("n").alias("n"))
+    # A word ends in one s at most to count as a plural, so it is never a singular as
+    # well: a group holds a word, its plural, or both.
+    plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss") & (F.length("word") > 1)
+    base = F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
+    merged = counts.groupBy(base.alias("base")).agg(F.sum("n").alias("n"), F.min("word").alias("word"))
+    return merged.select("word", "n")
 
 
 def neighbour_counts(df: DataFrame, text: str, stopwords: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:

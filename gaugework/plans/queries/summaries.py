@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates as agg
-from gaugework.operators import ranking
+from gaugework.operators import joins, ranking
 from gaugework.plans.fixtures import MEASURES, observations, table
 from gaugework.plans.queries.base import as_long, query, rounded, with_days
 
@@ -73,11 +73,12 @@ PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth}
 )
 def value_counts(spark, sf_dir):
     obs = observations(spark, sf_dir).withColumn("type", F.nullif(F.col("type"), F.lit("N")))
-    parts = [
-        agg.value_counts(obs, c).select(F.lit(c).alias("column"), F.col(c).alias("value"), "n")
-        for c in ("state", "location", "agency", "type")
-    ]
-    return ranking.union_all(*parts)
+    return agg.value_counts_all(obs, ["state", "location", "agency", "type"])
+
+
+@query("value_counts_one", "SELECT agency, count(*) AS n FROM obs GROUP BY agency", obs=True)
+def value_counts_one(spark, sf_dir):
+    return agg.value_counts(observations(spark, sf_dir), "agency")
 
 
 @query(
@@ -387,10 +388,7 @@ def first_intervals(spark, sf_dir):
     obs=True,
 )
 def most_frequent(spark, sf_dir):
-    return ranking_most_frequent(observations(spark, sf_dir), "location", 5)
-
-
-from gaugework.operators.joins import most_frequent as ranking_most_frequent  # noqa: E402
+    return joins.most_frequent(observations(spark, sf_dir), "location", 5)
 
 
 @query(

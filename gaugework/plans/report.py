@@ -51,12 +51,7 @@ def batch_report(wide: DataFrame, roles: Roles, raw: DataFrame | None = None, pl
 
     results: Results = {
         "descriptive_statistics": lambda: agg.describe(dated, [*measures, "year", "month", "day"]),
-        "value_counts": lambda: ranking.union_all(
-            *[
-                agg.value_counts(wide, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "n")
-                for c in named
-            ]
-        ),
+        "value_counts": lambda: agg.value_counts_all(wide, named),
         "missing_percent": lambda: agg.missing_percent(source, measures),
         "missing_matrix": lambda: agg.missing_patterns(source, measures),
         "missing_correlation": lambda: agg.missing_corr(source, measures),
