@@ -21,7 +21,7 @@ def parse_month_code(value: str | Column) -> Column:
     month = F.nullif(F.regexp_extract(tail, MONTH_CODE, 1), F.lit(""))
     year = F.nullif(F.regexp_extract(tail, MONTH_CODE, 2), F.lit(""))
     text = F.concat(year, F.lit("-"), month, F.lit("-1"))
-    return F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("timestamp_ntz")
+    return F.try_to_date(text, "yyyy-M-d").cast("timestamp_ntz")
 
 
 def parse_date(value: str | Column, formats: Sequence[str] | None = None, day_first: bool = True) -> Column:
@@ -29,8 +29,9 @@ def parse_date(value: str | Column, formats: Sequence[str] | None = None, day_fi
     if formats is None:
         formats = DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS
     text = F.trim(col_of(value))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    # Dates are read as dates, so that no time zone gets a say.
+    tries = [F.try_to_timestamp(text, F.lit(f)) if "H" in f else F.try_to_date(text, f) for f in formats]
+    return F.coalesce(*[t.cast("timestamp_ntz") for t in tries])
 
 
 def date_parts(value: str | Column) -> dict[str, Column]:

@@ -12,6 +12,9 @@ from gaugework.functions.temporal import month_end, wall_micros
 from gaugework.operators.joins import attach, one_row
 
 DAY_MICROS = 86_400_000_000
+# A slice's sum is taken over the slices of one window, so more of them split a hot series
+# further but cost more additions.
+SLICES_PER_DAY = 4
 
 
 def rolling_mean_time(
@@ -33,7 +36,7 @@ def rolling_mean_time(
     slices between, and the head of its own slice: tails and heads are running sums
     inside one slice, and the middle is a running sum over slice totals.
     """
-    slices = slices or max(days, 1)
+    slices = slices or days * SLICES_PER_DAY
     width = days * DAY_MICROS
     if width % slices:
         raise ValueError("the window must divide evenly into slices")
@@ -51,9 +54,11 @@ def rolling_mean_time(
     leaves = F.struct((F.col("us") + width).alias("us"), F.lit(False).alias("own"))
     moves = points.select(*keys, "at", "s", "c", F.inline(F.array(enters, leaves)))
     moves = moves.withColumn("slice", F.floor(F.col("us") / grain).cast("long"))
-    in_slice = Window.partitionBy(*keys, "slice").orderBy("us")
-    head = in_slice.rangeBetween(Window.unboundedPreceding, 0)
-    tail = in_slice.rangeBetween(1, Window.unboundedFollowing)
+    in_slice = Window.partitionBy(*keys, "slice")
+    head = in_slice.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    # What comes later, as a growing frame from the end: a frame that shrinks towards the
+    # end would be summed anew for every row.
+    tail = in_slice.orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
 
     def side(is_own: bool, column: str) -> Column:
         return F.sum(F.when(F.col("own") == is_own, F.col(column)).otherwise(0))
@@ -110,9 +115,10 @@ def rolling_mean_rows(
 
 def fill_both_ways(df: DataFrame, keys: Sequence[str], order: str, value: str = "value") -> DataFrame:
     """Gaps take the previous value of their series; leading gaps the first one."""
-    by = window_by(keys, order)
-    before = F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    latest = F.last(value, ignorenulls=True)
+    before = latest.over(window_by(keys, F.asc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    # The next value is the latest one when read backwards; both frames only grow.
+    after = latest.over(window_by(keys, F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(value, F.coalesce(before, after))
 
 

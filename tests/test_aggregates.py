@@ -138,3 +138,42 @@ def test_empty_input_keeps_schema(spark, obs):
         assert df.columns
         df.collect()
     assert {r["count"] for r in agg.kpi(empty, MEASURES).collect()} == {0}
+
+
+def test_results_do_not_depend_on_partitions_or_hot_keys(spark):
+    """A third of the rows share one key, and half of those one value and time."""
+    from gaugework.operators import distributions as dist
+    from gaugework.operators import windows
+
+    rng = np.random.default_rng(12)
+    n = 3000
+    hot = np.arange(n) % 3 == 0
+    same = hot & (np.arange(n) % 2 == 0)
+    data = [
+        (
+            "hot" if hot[i] else f"k{rng.integers(0, 40)}",
+            1000 if same[i] else int(rng.integers(0, 90 * 24)),
+            5.0 if same[i] else float(np.round(rng.gamma(2, 3), 2)),
+        )
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(data, "k string, hour int, v double")
+    df = df.withColumn("t", F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, hour)"))
+
+    def results(part):
+        return {
+            "quantiles": quantiles(part, ["v"], (0.25, 0.5), ["k"]),
+            "histogram": dist.histogram(part, ["v"], 10, ["k"]),
+            "kde": dist.kde(part, ["v"], ["k"], points=20).withColumn("density", F.round("density", 9)),
+            "box": dist.box_stats(part, ["v"]),
+            "rolling": windows.rolling_mean_time(part, ["k"], "t", "v", 10).withColumn(
+                "rolling_mean", F.round("rolling_mean", 9)
+            ),
+            "spikes": windows.zscore_spikes(part, ["k"], "v").withColumn("zscore", F.round("zscore", 9)),
+            "sample": ranking.sample_n(part, 50),
+            "top": ranking.top_means(part, "k", ["v"], 5).withColumn("value", F.round("value", 9)),
+        }
+
+    one, many = results(df.coalesce(1)), results(df.repartition(64))
+    for name in one:
+        assert rows(one[name]) == rows(many[name]), name
