@@ -23,6 +23,10 @@ from gaugework.operators.cleaning import melt
 from gaugework.session import settle
 
 
+# Bins per interval between two cuts; the fewer values a bin holds, the less one task ranks.
+BINS = 1024
+
+
 def _cut_points(probs: Sequence[float], accuracy: int) -> list[float]:
     margin = 2.0 / accuracy
     return sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
@@ -75,9 +79,19 @@ def quantiles(
     sides = [f"value {side} cuts[{i}]" for i in range(size) for side in (">=", ">")]
     located = located.withColumn("place", F.expr(_number_of(sides)))
     thin = located.where("place % 2 = 0 AND array_contains(places, place)")
-    values = thin.groupBy(*group, "place", "value").agg(F.count("*").alias("copies"))
-    through = F.sum("copies").over(window_by([*group, "place"], "value"))
-    ranked = values.withColumn("through", through)
+    # An interval is ranked in bins of equal width: running sums inside a bin, shifted by
+    # the sizes of the bins before. Outside the outermost cuts there is a single bin.
+    half = "CAST(place / 2 AS INT)"
+    low, high = f"try_element_at(cuts, nullif({half}, 0))", f"try_element_at(cuts, {half} + 1)"
+    spread = f"floor((value - {low}) / ({high} - {low}) * {BINS})"
+    thin = thin.withColumn("bin", F.expr(f"CAST(coalesce(least({spread}, {BINS - 1}), 0) AS INT)"))
+    values = thin.groupBy(*group, "place", "bin", "value").agg(F.count("*").alias("copies"))
+    bins = values.groupBy(*group, "place", "bin").agg(F.sum("copies").alias("size"))
+    earlier = F.sum("size").over(window_by([*group, "place"], "bin")) - F.col("size")
+    bins = bins.select(*group, "place", "bin", earlier.alias("earlier"))
+    inside = F.sum("copies").over(window_by([*group, "place", "bin"], "value"))
+    ranked = values.withColumn("inside", inside).join(bins, [*group, "place", "bin"])
+    ranked = ranked.withColumn("through", F.col("earlier") + F.col("inside"))
 
     at_rank = ", ".join(
         f"max(CASE WHEN place = places[{t}] AND ranks[{t}] < before[{t}] + through"

@@ -177,19 +177,19 @@ def rolling_corr(
 ) -> DataFrame:
     """Correlation of two measures over the last ``window`` complete pairs of each series.
 
-    The measures are averaged per month (or per raw time with ``grain="time"``);
-    series with at most ``more_than`` pairs are left out, and the first
-    ``min_pairs - 1`` positions of a series are null.
+    The measures are averaged per month (or per day with ``grain="day"``), so a series is
+    as long as its calendar. Series with at most ``more_than`` pairs are left out, and the
+    first ``min_pairs - 1`` positions of a series are null.
     """
     if grain == "month":
         at, moment = "month_end", month_end(time)
-    elif grain == "time":
-        at, moment = time, F.col(time)
+    elif grain == "day":
+        at, moment = "day", F.to_date(time)
     else:
         raise ValueError(f"unknown grain {grain!r}")
     values = [F.avg(nan_to_null(F.col(m).cast("double"))).alias(m) for m in (a, b)]
     pairs = with_keys(df, [*keys, time]).groupBy(*keys, moment.alias(at)).agg(*values).dropna(subset=[a, b])
-    # From here on a series has one row per month (or distinct time).
+    # From here on a series has one row per month or day.
     pairs = pairs.withColumn("pairs", F.count("*").over(Window.partitionBy(*keys))).where(F.col("pairs") > more_than)
     last = window_by(keys, at).rowsBetween(-(window - 1), 0)
     enough = F.count("*").over(last) >= min_pairs

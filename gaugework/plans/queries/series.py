@@ -141,10 +141,10 @@ def rolling_corr_months(spark, sf_dir):
     return rounded(rounded(with_days(rolled, "month_end"), 4, "quantity", "tax"), 5, "rolling_corr")
 
 
-@query("rolling_corr_dates", corr_sql("state", "ts", "ts", "quantity", "discount"), obs=True)
+@query("rolling_corr_dates", corr_sql("state", "day", "CAST(ts AS DATE)", "quantity", "discount"), obs=True)
 def rolling_corr_dates(spark, sf_dir):
-    rolled = windows.rolling_corr(observations(spark, sf_dir), ["state"], "ts", "quantity", "discount", grain="time")
-    return rounded(rounded(with_days(rolled, "ts"), 4, "quantity", "discount"), 5, "rolling_corr")
+    rolled = windows.rolling_corr(observations(spark, sf_dir), ["state"], "ts", "quantity", "discount", grain="day")
+    return rounded(rounded(with_days(rolled, "day"), 4, "quantity", "discount"), 5, "rolling_corr")
 
 
 @query(

@@ -74,6 +74,7 @@ def batch_report(wide: DataFrame, roles: Roles, raw: DataFrame | None = None, pl
         ),
         "intervals": lambda: ranking.intervals(wide, place, time),
         "trellis": lambda: dist.histogram(wide, measures, 30, [region]),
+        "trellis_densities": lambda: dist.kde(wide, measures, [region], scale="count", bins=30),
         "violins": lambda: dist.kde(wide, measures, [region], cut=2.0, points=100),
         "swarm": lambda: ranking.sample_n(wide.select(region, F.col(measures[0]).alias("value")).dropna(), 5000),
         "hexbin": lambda: dist.hexbin(wide, measures[0], measures[1]),
@@ -87,7 +88,7 @@ def batch_report(wide: DataFrame, roles: Roles, raw: DataFrame | None = None, pl
             ranking.facet_rows(wide, place, time, measures), [place, "measure", time], "value"
         ),
         "place_years": lambda: agg.mean_of_all(dated.join(top_places().select(place).distinct(), place, "left_semi"), ["year", place], measures),
-        "rolling_correlation": lambda: windows.rolling_corr(wide, [region], time, measures[0], measures[1], grain="time"),
+        "rolling_correlation": lambda: windows.rolling_corr(wide, [region], time, measures[0], measures[1], grain="day"),
         "place_series": lambda: agg.mean_by_measure(wide, [time, place], measures),
         "spikes": spikes,
         "cluster_trends": trends,
