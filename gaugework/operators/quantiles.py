@@ -138,7 +138,7 @@ def _count_whole(
         for low, cut in pairwise([None, *first[f"cuts_{m}"]]):
             tests += [f"count_if(`{m}` {'<=' if low == cut else '<'} {_literal(cut)})", f"count_if(`{m}` <= {_literal(cut)})"]
     counts = list(wide.selectExpr(*tests).collect()[0]) if tests else []
-    rows, kept, width = [], [], 2 * len(points)
+    rows, kept, width = [], {}, 2 * len(points)
     for k, m in enumerate(seen):
         n, cuts, upto = first[f"n_{m}"], first[f"cuts_{m}"], counts[k * width : (k + 1) * width]
         rows.append((m, n, cuts, upto))
@@ -152,11 +152,11 @@ def _count_whole(
                 below = [] if high is None else [f"`{m}` < {_literal(high)}"]
                 inside.append(f"({' AND '.join(above + below)})")
         if inside:
-            kept.append(F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m))
-        else:
-            kept.append(F.lit(None).cast("double").alias(m))
+            kept[m] = F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m)
     counted = wide.sparkSession.createDataFrame(rows, "measure string, n long, cuts array<double>, upto array<long>")
-    return counted, melt(wide.select(*kept), [], seen) if seen else melt(wide, [], measures)
+    if not kept:
+        return counted, melt(wide.where(F.lit(False)), [], measures)
+    return counted, melt(wide.select(*kept.values()), [], list(kept))
 
 
 def _literal(x: float) -> str:
