@@ -78,7 +78,7 @@ def score_bytes(texts: list[bytes], model: dict[str, np.ndarray], most: int = 1
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_network(texts: list[bytes], labels: list[int], share: float, epochs: int = 14, batch: int = 64, seed: int = 5) -> dict:
+def fit_network(texts: list[bytes], labels: list[int], share: float, steps_wanted: int = 1000, batch: int = 64, seed: int = 5) -> dict:
     """Adam on balanced classes; only the chunk that won the pooling gets a filter's gradient.
 
     The constant then takes up the real odds of the classes. Without both labels the
@@ -98,7 +98,7 @@ def fit_network(texts: list[bytes], labels: list[int], share: float, epochs: int
         return zero | {"prior": np.float64(0.0 if not labels else (20.0 if labels[0] == 1 else -20.0))}
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32) * len(y)
-    steps = 0
+    steps, epochs = 0, min(150, -(-steps_wanted * batch // len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gaugework.llm import mixing, quality, sharding, toxicity
+from gaugework.llm import bpe, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality": quality.op2_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_minhash": minhash.op5_minhash,
     "op8_mixing": mixing.op8_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 
-SQL = {"op1_sharding": sharding.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op5_minhash": minhash.OP5_SQL, "op1_sharding": sharding.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
