@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gaugework.llm import bpe, minhash, mixing, quality, sharding, toxicity
+from gaugework.llm import ann, bpe, forest, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality": quality.op2_quality,
+    "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_minhash": minhash.op5_minhash,
+    "op6_forest": forest.op6_forest,
     "op8_mixing": mixing.op8_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
