@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gaugework.llm.common import documents, fresh, small_batches, worker_cache
 
 STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
-PIECES = 600_000  # encoded pieces that a worker keeps
+PIECES = 400_000  # encoded pieces that a worker keeps
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -157,37 +157,56 @@ def cuts(text: str) -> list[str]:
     return out
 
 
-class Encoder:
-    """Encodes whole texts; pieces seen before are looked up."""
+class PieceEncoder:
+    """Encodes whole texts piece by piece to 32-bit ids; pieces seen before are looked up.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.seen: dict[str, tuple[int, ...]] = {}
+    ``encode_pieces`` gives the ids of pieces, each encoded on its own, as little-endian bytes.
+    """
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.seen.get(piece)
-        if found is None:
-            out: list[int] = []
-            if len(self.seen) > PIECES:
-                self.seen.clear()
-            for match in self.pattern.findall(piece):
-                known = self.seen.get(match)
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
+        self.encode_pieces = encode_pieces
+        self.after: dict[str, bytes] = {}  # by what follows a blank
+
+    def encode(self, text: str) -> bytes:
+        parts = text.split(" ")
+        first, rest = parts[0], parts[1:]
+        found = list(map(self.after.get, rest))
+        if None in found or first[-1:].isspace():
+            new = {p for p, f in zip(rest, found, strict=True) if f is None}
+            # A part kept before is neither empty nor has white space at its ends.
+            if first[-1:].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                return b"".join(self.encode_pieces(cuts(text)))
+            if len(self.after) > PIECES:
+                self.after.clear()
+            ordered = sorted(new)
+            made = dict(zip(ordered, self.encode_pieces([" " + p for p in ordered]), strict=True))
+            self.after.update((p, ids) for p, ids in made.items() if len(p) <= 64)
+            found = [made[p] if f is None else f for p, f in zip(rest, found, strict=True)]
+        return self.encode_pieces([first])[0] + b"".join(found)
+
+
+def transducing(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
+    """An encoder by the transducer; matches of the pattern seen before are looked up as well."""
+    transducer, matches, seen = Transducer(ranks), regex.compile(pattern), {}
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        out = []
+        for piece in pieces:
+            ids = b""
+            for match in matches.findall(piece):
+                known = seen.get(match)
                 if known is None:
-                    known = tuple(self.transducer.encode(match.encode()))
+                    known = np.array(transducer.encode(match.encode()), dtype="<i4").tobytes()
+                    if len(seen) > PIECES:
+                        seen.clear()
                     if len(match) <= 64:
-                        self.seen[match] = known
-                out += known
-            found = tuple(out)
-            if len(piece) <= 64:
-                self.seen[piece] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in cuts(text):
-            out += self.seen.get(piece) or self.piece(piece)
+                        seen[match] = known
+                ids += known
+            out.append(ids)
         return out
 
+    return PieceEncoder(encode)
+
 
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
     """The UTF-8 state machine. A state: bytes still to come, and the range of the next one; None: broken."""
@@ -232,11 +251,11 @@ def decode_stream(ids: Iterable[int], table: list[bytes], step: int = 8192) -> I
     yield held + b"".join(now)
 
 
-def worker_encoder(data: bytes, pattern: str) -> Encoder:
+def worker_encoder(data: bytes, pattern: str) -> PieceEncoder:
     kept = worker_cache("bpe")
     key = (hashlib.md5(data).digest(), pattern)
     if key not in kept:
-        kept[key] = Encoder(read_ranks(data), pattern)
+        kept[key] = transducing(read_ranks(data), pattern)
     return kept[key]
 
 
@@ -259,7 +278,7 @@ def bpe_encode(docs: DataFrame, ranks_file: str, pattern: str, name: str = "ids"
         for batch in batches:
             ids, ends = [], [0]
             for text in batch.to_pylist():
-                ids.append(np.array(encoder.encode(text or ""), dtype=np.int32))
+                ids.append(np.frombuffer(encoder.encode(text or ""), dtype="<i4"))
                 ends.append(ends[-1] + len(ids[-1]))
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))

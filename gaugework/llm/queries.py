@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import ann, bpe, forest, minhash, mixing, quality, sharding, toxicity
+from gaugework.llm import ann, bpe, forest, lm, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_minhash": minhash.op5_minhash,
     "op6_forest": forest.op6_forest,
+    "op7_lm": lm.op7_lm,
     "op8_mixing": mixing.op8_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
