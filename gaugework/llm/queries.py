@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import ann, bpe, forest, lm, minhash, mixing, quality, sharding, toxicity
+from gaugework.llm import ann, bpe, forest, lm, minhash, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_forest": forest.op6_forest,
     "op7_lm": lm.op7_lm,
     "op8_mixing": mixing.op8_mixing,
+    "op9_tokens": token_files.op9_tokens,
     "op10_bpe": bpe.op10_bpe,
 }
 
