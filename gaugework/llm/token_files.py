@@ -21,8 +21,8 @@ BLOCK = 4096  # ids of a block; each is coded on its own, from a fresh model
 SEGMENT = 1 << 22  # ids after which a task closes a segment
 SLOTS = 11  # bits of a context's place in the tables of predicted ids
 TOTAL = 1 << 12  # denominator of the coder's probabilities
-HEAD = struct.Struct("<4sIIQ")  # magic, documents, blocks, ids
-BLOCK_HEAD = struct.Struct("<III")  # ids, bytes, crc32 of the ids
+HEAD = "<4sIIQ"  # magic, documents, blocks, ids
+BLOCK_HEAD = "<III"  # ids, bytes, crc32 of the ids
 MAGIC = b"GWT1"
 TOP, BOTTOM = np.uint64(1 << 24), np.uint64(1 << 16)
 LOW = np.uint64(0xFFFFFFFF)
@@ -225,18 +225,18 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out, at = [], 0
     little = ids.astype("<u4")
     for payload, n in zip(payloads, lengths.tolist(), strict=True):
-        out.append(BLOCK_HEAD.pack(n, len(payload), zlib.crc32(little[at : at + n].tobytes())) + payload)
+        out.append(struct.pack(BLOCK_HEAD, n, len(payload), zlib.crc32(little[at : at + n].tobytes())) + payload)
         at += n
     return out
 
 
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks of one segment; a wrong checksum is an error."""
-    heads = [BLOCK_HEAD.unpack_from(b) for b in blocks]
+    heads = [struct.unpack_from(BLOCK_HEAD, b) for b in blocks]
     if not heads:
         return np.zeros(0, dtype=np.int64)
     lengths = np.array([h[0] for h in heads], dtype=np.int64)
-    model, coder = Predictor(len(heads)), RangeDecoder([b[BLOCK_HEAD.size : BLOCK_HEAD.size + h[1]] for b, h in zip(blocks, heads, strict=True)])
+    model, coder = Predictor(len(heads)), RangeDecoder([b[struct.calcsize(BLOCK_HEAD) : struct.calcsize(BLOCK_HEAD) + h[1]] for b, h in zip(blocks, heads, strict=True)])
     lanes = np.arange(len(heads))
     steps = np.zeros((int(lengths[0]), len(heads)), dtype=np.int64)
     for step in range(int(lengths[0])):
@@ -271,20 +271,20 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
 def encode_segment(doc_lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """Header, the documents' lengths, the blocks."""
     blocks = encode_blocks(ids)
-    head = HEAD.pack(MAGIC, len(doc_lengths), len(blocks), len(ids))
+    head = struct.pack(HEAD, MAGIC, len(doc_lengths), len(blocks), len(ids))
     return b"".join([head, doc_lengths.astype("<u8").tobytes(), *blocks])
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(length of each document, ids)."""
-    magic, docs, count, n = HEAD.unpack_from(data)
+    magic, docs, count, n = struct.unpack_from(HEAD, data)
     if magic != MAGIC:
         raise ValueError("not a segment of token ids")
-    at = HEAD.size + 8 * docs
-    lengths = np.frombuffer(data, dtype="<u8", count=docs, offset=HEAD.size).astype(np.int64)
+    at = struct.calcsize(HEAD) + 8 * docs
+    lengths = np.frombuffer(data, dtype="<u8", count=docs, offset=struct.calcsize(HEAD)).astype(np.int64)
     blocks = []
     for _ in range(count):
-        size = BLOCK_HEAD.size + BLOCK_HEAD.unpack_from(data, at)[1]
+        size = struct.calcsize(BLOCK_HEAD) + struct.unpack_from(BLOCK_HEAD, data, at)[1]
         blocks.append(data[at : at + size])
         at += size
     ids = decode_blocks(blocks)
