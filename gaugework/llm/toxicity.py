@@ -138,8 +138,9 @@ def score_texts(texts: list[str | None], model: dict[str, np.ndarray], known: di
     found, lengths = [], []
     for text in texts:
         words = words_of(text or "")
-        for word in words - known.keys():
-            known[word] = tuple(place[b] for b in terms_of(word) if b in place)
+        for word in words:
+            if word not in known:
+                known[word] = tuple(place[b] for b in terms_of(word) if b in place)
         live = set(chain.from_iterable(map(known.__getitem__, words)))
         found.extend(sorted(live))
         lengths.append(len(live))
