@@ -18,6 +18,7 @@ from gaugework.session import cut_lineage
 BANDS = 24
 ROWS = 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+PRODUCTIVE = 0.1  # share of links among tried pairs up to which another leader is worth a try
 PIECE = 60_000  # shingles whose permutations a task works on at once
 
 
@@ -160,9 +161,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Equal sets are one class, led by its smallest id. Classes that share a band are
     candidates, and no bucket is expanded into all its pairs: at first every member is
-    verified against the leader that it meets in most bands; then members of buckets that
-    still hold several components are verified against a member of each other one; only what
-    is then still apart is compared pair by pair where the set sizes allow a link. So
+    verified against the leader that it meets in most bands; then, as long as that links
+    many, members of buckets that still hold several components try another leader; what
+    is still apart after that is compared pair by pair where the set sizes allow a link. So
     every candidate pair is verified or already connected.
 
     A null or empty text has no shingles and is linked with nothing. A null id takes no part:
@@ -189,26 +190,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = chosen.select(F.least("rep", "c.leader").alias("a"), F.greatest("rep", "c.leader").alias("b")).distinct()
     tested = cut_lineage(pairs, "pairs")
     links = cut_lineage(verified(tested, sets, percent), "links")
-    for leaders_only in (True, False):
+    turn, shares = 0, 1.0
+    while True:
+        turn += 1
         labels = components(links)
         labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         labelled = labelled.select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         mixed = mixed.where("low <> high").select("band")
         apart = cut_lineage(labelled.join(mixed, "band", "left_semi"), "apart")
+        # As long as another leader links many, each member tries one more; then what is left is compared in full.
+        in_full = shares < PRODUCTIVE
         one = apart
-        if leaders_only:
-            one = apart.groupBy("band", "component").agg(F.min(F.struct(F.xxhash64("band", "rep").alias("h"), "rep", "n")).alias("f"))
-            one = one.select("band", F.col("f.rep").alias("rep"), F.col("f.n").alias("n"), "component")
+        if not in_full:
+            draw = F.xxhash64("band", "rep", F.lit(turn))
+            one = apart.groupBy("band").agg(F.min(F.struct(draw.alias("h"), "rep", "n", "component")).alias("f"))
+            one = cut_lineage(one.select("band", "f.rep", "f.n", "f.component"), "leaders")
         one = one.select("band", *[F.col(c).alias(f"{c}_1") for c in ("rep", "n", "component")])
-        met = apart.join(one, "band").where("component <> component_1")
+        met = apart.join(one, "band").where("component < component_1" if in_full else "component <> component_1")
         met = met.where(f"100 * least(n, n_1) >= {percent} * greatest(n, n_1)")
-        pairs = met.select(F.least("rep", "rep_1").alias("a"), F.greatest("rep", "rep_1").alias("b")).distinct()
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        ends = [F.least("rep", "rep_1").alias("a"), F.greatest("rep", "rep_1").alias("b")]
+        if in_full:
+            pairs = met.select(*ends).distinct().join(tested, ["a", "b"], "left_anti")
+        else:
+            met = met.groupBy("rep", "rep_1").agg(F.count("*").alias("times")).select("rep", "rep_1", "times", *ends)
+            met = met.join(tested, ["a", "b"], "left_anti")
+            chosen = met.groupBy("rep").agg(F.max(F.struct("times", "rep_1")).alias("c"))
+            pairs = chosen.select(F.least("rep", "c.rep_1").alias("a"), F.greatest("rep", "c.rep_1").alias("b")).distinct()
+        pairs = cut_lineage(pairs, "pairs")
+        tried = pairs.count()
+        if tried:
+            tested = tested.unionByName(pairs)
+            found = cut_lineage(verified(pairs, sets, percent), "links")
+            links = links.unionByName(found)
+        if in_full:
             break
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(cut_lineage(verified(pairs, sets, percent), "links"))
+        shares = found.count() / tried if tried else 0.0
 
     # Ids that lead several classes tie these together as well: a label belongs to an id.
     labels = components(links).withColumnRenamed("node", "rep")
