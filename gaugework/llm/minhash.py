@@ -199,6 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         mixed = mixed.where("low <> high").select("band")
         apart = cut_lineage(labelled.join(mixed, "band", "left_semi"), "apart")
+        if apart.isEmpty():
+            break
         # As long as another leader links many, each member tries one more; then what is left is compared in full.
         in_full = shares < PRODUCTIVE
         one = apart
