@@ -18,6 +18,7 @@ MAX_LISTS = 1024
 CANDIDATES = 4096  # rows of a list that one task scans
 QUERIES = 2048  # queries that one task scans them for
 COLUMNS = 16  # columns of a block
+FEW = 0.2  # share of candidates alive below which they are measured one by one
 CONFIDENCE = 2.1  # of the test that abandons a candidate: misses about exp(-2.1 ** 2)
 WANTED_RECALL = 0.97  # on the sample
 
@@ -97,11 +98,17 @@ def scan(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, longe
             doubt = (1 + CONFIDENCE / math.sqrt(seen)) ** 2 if seen < width else 1 + 1e-9
             return partial * (width / seen) <= limit * doubt
 
-        a, b = rq[:, :COLUMNS], rx[first:, :COLUMNS]
-        partial = np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None] - 2 * a @ b.T
-        at, col = np.nonzero(test(partial, COLUMNS, bound[:, None]))
+        # As long as most candidates are alive a block is one matrix product; then only the rest is touched.
+        partial, seen = np.zeros((len(q), len(x) - first)), 0
+        alive = np.ones(partial.shape, dtype=bool)
+        while seen < width and alive.mean() > FEW:
+            a, b = rq[:, seen : seen + COLUMNS], rx[first:, seen : seen + COLUMNS]
+            partial += np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None] - 2 * a @ b.T
+            seen = min(width, seen + COLUMNS)
+            alive &= test(partial, seen, bound[:, None])
+        at, col = np.nonzero(alive)
         partial = partial[at, col]
-        for low in range(COLUMNS, width, COLUMNS):
+        for low in range(seen, width, COLUMNS):
             high = min(width, low + COLUMNS)
             partial = partial + np.square(rq[at, low:high] - rx[first + col, low:high]).sum(axis=1)
             stay = test(partial, high, bound[at])
