@@ -17,7 +17,7 @@ from gaugework.functions.temporal import month_end
 from gaugework.operators.cleaning import melt
 from gaugework.operators.joins import one_row
 from gaugework.operators.quantiles import quantiles
-from gaugework.session import settle
+from gaugework.session import number_rows, settle
 
 
 def _stack(df: DataFrame, keys: Sequence[str], rows: Sequence[dict[str, Column]]) -> DataFrame:
@@ -164,14 +164,6 @@ def monthly_mean(df: DataFrame, keys: Sequence[str], time: str, measures: Sequen
 # --- pivots ----------------------------------------------------------------------------
 
 
-def pivot_values(df: DataFrame, column: str, limit: int = 2000) -> list:
-    """Distinct values that will become columns. Refuses a column that is not column-like."""
-    found = with_keys(df, [column]).select(column).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column!r} has more than {limit} values; keep the result long instead")
-    return sorted(r[0] for r in found)
-
-
 def pivot_mean(
     df: DataFrame,
     rows: Sequence[str],
@@ -180,11 +172,16 @@ def pivot_mean(
     values: Sequence | None = None,
     fill: float | None = None,
 ) -> DataFrame:
-    """Two-way table of means. The rows are reduced per cell before the cells become columns."""
-    cells = mean_by(df, [*rows, column], [value])
-    if values is None:
-        values = pivot_values(cells, column)
-    table = cells.groupBy(*rows).pivot(column, list(values)).agg(F.first(value))
+    """Two-way table of means. The rows are reduced per cell before the cells become columns.
+
+    Cells without a value are left out, so a row or column of such cells does not appear.
+    Without given ``values`` the columns are found from the kept cells, as many as
+    spark.sql.pivotMaxValues allows.
+    """
+    cells = with_keys(mean_by(df, [*rows, column], [value]), [column]).where(F.col(value).isNotNull())
+    cells = settle(cells) if values is None else cells
+    grouped = cells.groupBy(*rows)
+    table = (grouped.pivot(column) if values is None else grouped.pivot(column, list(values))).agg(F.first(value))
     return table if fill is None else table.fillna(fill)
 
 
@@ -219,21 +216,14 @@ def flow_counts(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
     return edges.withColumnRenamed(key, "source")
 
 
-def rank_names(names: DataFrame, column: str, prefix: int = 2) -> DataFrame:
+def rank_names(names: DataFrame, column: str) -> DataFrame:
     """Zero-based position of every distinct name in sorted order.
 
-    Positions are counted inside each name prefix and shifted by the sizes of the
-    prefixes before it, so no task has to sort all the names.
+    The names are range-partitioned and numbered inside their partition (``number_rows``),
+    so no task sorts more than its share, however alike the names begin.
     """
     distinct = with_keys(names, [column]).select(column).distinct()
-    headed = distinct.withColumn("head", F.substring(column, 1, prefix))
-    sizes = headed.groupBy("head").agg(F.count("*").alias("size"))
-    # One row per prefix: the only sort in a single task.
-    before = F.sum("size").over(Window.orderBy("head")) - F.col("size")
-    offsets = sizes.withColumn("offset", before).drop("size")
-    inside = F.row_number().over(Window.partitionBy("head").orderBy(column)) - 1
-    placed = headed.withColumn("inside", inside).join(offsets, "head")
-    return placed.select(column, (F.col("inside") + F.col("offset")).cast("long").alias("index"))
+    return number_rows(distinct, [column], "index").select(column, F.col("index").cast("long").alias("index"))
 
 
 def flow_nodes(edges: DataFrame) -> DataFrame:

@@ -57,6 +57,9 @@ def standardize(matrix: DataFrame) -> DataFrame:
     return scored.withColumn("scaled", z).drop("stats")
 
 
+LAYOUT = 16  # partitions of the points of a k-means fit
+
+
 def kmeans(
     matrix: DataFrame,
     entity: Sequence[str],
@@ -71,7 +74,11 @@ def kmeans(
     number of rows, and clusters are numbered by their smallest member. Fewer than
     two rows cannot be clustered and give an empty result.
     """
-    points = standardize(matrix).withColumn("vector", array_to_vector("scaled")).persist()
+    # The fit depends on where a row lies, so the points get a layout of their own: by key, in a
+    # fixed number of partitions, and without the last digits that the order of a sum decides.
+    steady = F.transform("scaled", lambda x: F.round(x, 9))
+    points = standardize(matrix).withColumn("vector", array_to_vector(steady))
+    points = points.repartition(LAYOUT, *entity, "measure").sortWithinPartitions(*entity, "measure").persist()
     rows = points.count()
     if rows < 2:
         return points.where(F.lit(False)).withColumn("cluster", F.lit(0)).drop("scaled", "vector")
@@ -88,7 +95,7 @@ def kmeans(
     smallest = labelled.groupBy("label").agg(F.min(F.struct(*entity, "measure")).alias("first"))
     # At most k rows are numbered here.
     names = smallest.select("label", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))
-    return labelled.join(F.broadcast(names), "label").drop("label", "scaled", "vector")
+    return labelled.join(names, "label").drop("label", "scaled", "vector")
 
 
 def cluster_trends(clustered: DataFrame) -> DataFrame:

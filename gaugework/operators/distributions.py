@@ -38,10 +38,14 @@ def histogram(df: DataFrame, measures: Sequence[str], bins: int = 50, keys: Sequ
         F.when(flat, F.max("value") + 0.5).otherwise(F.max("value")).alias("high"),
     )
     ranges = settle(ranges.withColumn("width", (F.col("high") - F.col("low")) / bins))
-    position = F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int")
+    guess = F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int"), F.lit(bins - 1))
+    # The quotient may round across an edge: the printed edges decide.
+    below = F.col("value") < F.col("low") + guess * F.col("width")
+    above = (F.col("value") >= F.col("low") + (guess + 1) * F.col("width")) & (guess < bins - 1)
+    position = guess - below.cast("int") + above.cast("int")
     counted = (
         long.join(ranges, group)
-        .withColumn("bin", F.least(position, F.lit(bins - 1)))
+        .withColumn("bin", position)
         .groupBy(*group, "bin")
         .agg(F.count("*").alias("n"))
     )

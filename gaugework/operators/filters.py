@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from gaugework.functions.safe import with_keys
 from gaugework.operators.joins import attach, one_row
 
-# Above this many values a membership test becomes a semi join instead of an IN list.
-IN_LIST_LIMIT = 1000
-
 
 @dataclass(frozen=True)
 class Selection:
@@ -29,13 +26,8 @@ class Selection:
 def filter_in(df: DataFrame, column: str, values: Sequence[Any] | DataFrame) -> DataFrame:
     """Keep rows whose column is one of the values (a list, or a one-column table)."""
     if isinstance(values, DataFrame):
-        wanted = values.toDF(column)
-    elif len(values) <= IN_LIST_LIMIT:
-        return df.where(F.col(column).isin(*values))
-    else:
-        schema = f"`{column}` {dict(df.dtypes)[column]}"
-        wanted = df.sparkSession.createDataFrame([(v,) for v in values], schema)
-    return df.join(wanted.distinct(), column, "left_semi")
+        return df.join(values.toDF(column).distinct(), column, "left_semi")
+    return df.where(F.col(column).isin(*values))
 
 
 def filter_between(df: DataFrame, time: str, start: Any, end: Any) -> DataFrame:

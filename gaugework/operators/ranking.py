@@ -90,12 +90,12 @@ def facet_rows(
     chosen: Sequence[str] | None = None,
     k: int = 6,
 ) -> DataFrame:
-    """Long rows for the chosen keys (by default the first ``k``), complete ones only."""
+    """Long rows for all chosen keys (by default the first ``k`` in order), complete ones only."""
     if chosen is None:
         names = one_row(first_k_values(df, key, k).agg(F.collect_list(key).alias("names")))["names"]
         kept = df.where(F.array_contains(names, F.col(key)))
     else:
-        kept = filter_in(df, key, list(chosen)[:k])
+        kept = filter_in(df, key, list(chosen))
     return melt(with_keys(kept, [key, time]), [key, time], measures)
 
 

@@ -60,9 +60,14 @@ def stl(
         out["observed"], out["trend"], out["seasonal"], out["resid"] = y, np.nan, np.nan, np.nan
         out["status"] = "too few points"
         if len(y) > more_than:
-            trend, season = stl_fit(y, period, seasonal, robust)
-            out["trend"], out["seasonal"], out["resid"] = trend, season, y - trend - season
-            out["status"] = "ok"
+            try:
+                trend, season = stl_fit(y, period, seasonal, robust)
+            except (ArithmeticError, ValueError):
+                trend = season = np.full(len(y), np.nan)
+            fine = bool(np.isfinite(trend).all() and np.isfinite(season).all())
+            out["status"] = "ok" if fine else "failed"
+            if fine:
+                out["trend"], out["seasonal"], out["resid"] = trend, season, y - trend - season
         return out
 
     types = dict(series.dtypes)
@@ -91,9 +96,15 @@ def loess(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.n
     spread = (share * (x - centre[:, None]) ** 2).sum(axis=1)
     tilt = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / np.where(spread > 0, spread, 1), 0.0)
     fit = (share * (1 + tilt[:, None] * (x - centre[:, None])) * y[near]).sum(axis=1)
-    # Where robustness removed all neighbours the value itself stands in.
-    own = y[np.clip(at.astype(int) - 1, 0, n - 1)]
-    return np.where(total > 0, fit, own)
+    # Where robustness removed all neighbours the nearest smoothed value stands in.
+    known = np.flatnonzero(total > 0)
+    if not len(known):
+        return y[np.clip(at.astype(int) - 1, 0, n - 1)]
+    after = np.clip(np.searchsorted(known, np.arange(len(at))), 0, len(known) - 1)
+    before = np.maximum(after - 1, 0)
+    here = np.arange(len(at))
+    nearest = np.where(np.abs(known[before] - here) <= np.abs(known[after] - here), known[before], known[after])
+    return np.where(total > 0, fit, fit[nearest])
 
 
 def _moving_average(y: np.ndarray, length: int) -> np.ndarray:
@@ -126,7 +137,8 @@ def stl_fit(y: np.ndarray, period: int, seasonal: int, robust: bool) -> tuple[np
         if lap < outer:
             off = np.abs(y - season - trend)
             limit = 6 * np.median(off)
-            if limit == 0:
+            # What is left at rounding level says nothing about outliers.
+            if limit <= 1e-12 * np.abs(y).max():
                 weights = np.ones(n)
                 continue
             u = off / limit

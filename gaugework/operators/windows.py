@@ -86,7 +86,7 @@ def rolling_mean_time(
     )
     if not per_row:
         return result
-    return df.join(result, [*keys, time])
+    return df.join(result, [*keys, time], "left")
 
 
 def daily_mean(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:

@@ -19,7 +19,7 @@ def histogram_sql(keys: list[str], bins: int) -> str:
     WITH ranges AS (SELECT {k}measure, min(value) AS low, max(value) AS high, (max(value) - min(value)) / {bins} AS width
                     FROM long GROUP BY ALL),
     counted AS (SELECT {"".join(f"l.{c}, " for c in keys)}l.measure,
-                  least(CAST(floor((value - low) / width) AS INT), {bins - 1}) AS bin, count(*) AS n
+                  CAST(len(list_filter(range(1, {bins}), lambda i: low + i * width <= value)) AS INT) AS bin, count(*) AS n
                 FROM long l JOIN ranges r ON {on} GROUP BY ALL),
     spine AS (SELECT {k}measure, low, width, CAST(b AS INT) AS bin FROM ranges, (SELECT unnest(range({bins})) AS b))
     SELECT {pick}round(low + s.bin * width + 1.3717e-7, 5) AS "left", round(low + (s.bin + 1) * width + 1.3717e-7, 5) AS "right",

@@ -50,7 +50,7 @@ GAPPED = "gapped AS (SELECT * FROM obs WHERE month(ts) NOT IN (2, 5, 6) AND tax
 
 
 def _gapped(spark, sf_dir):
-    return observations(spark, sf_dir).where(~F.month("ts").isin(2, 5, 6))
+    return observations(spark, sf_dir).withColumn("tax", F.when(~F.month("ts").isin(2, 5, 6), F.col("tax")))
 
 
 @query(

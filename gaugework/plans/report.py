@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.safe import with_keys
 from gaugework.operators import aggregates as agg
 from gaugework.operators import clustering, joins, ranking, text, windows
 from gaugework.operators import distributions as dist
+from gaugework.operators.cleaning import melt
 from gaugework.operators.stl import stl
 from gaugework.operators.ward import ward_linkage
 from gaugework.roles import Roles
@@ -42,7 +44,7 @@ def batch_report(wide: DataFrame, roles: Roles, raw: DataFrame | None = None, pl
         return windows.rolling_mean_rows(windows.complete_days(daily, [place]), [place], "day")
 
     def spikes():
-        long = ranking.facet_rows(wide, place, time, measures)
+        long = melt(with_keys(wide, [place, time]), [place, time], measures)
         return windows.zscore_spikes(long, [place, "measure"], "value")
 
     def trends():
@@ -85,9 +87,9 @@ def batch_report(wide: DataFrame, roles: Roles, raw: DataFrame | None = None, pl
         "decomposition": lambda: stl(wide, [region], time, measures, gaps="fill"),
         "month_year": lambda: agg.month_year_pivot(wide, time, measures[0], rows="year", fill=0.0),
         "facets": lambda: dist.mean_ci_by(
-            ranking.facet_rows(wide, place, time, measures), [place, "measure", time], "value"
+            melt(with_keys(top_places(), [place, time]), [place, time], measures), [place, "measure", time], "value"
         ),
-        "place_years": lambda: agg.mean_of_all(dated.join(top_places().select(place).distinct(), place, "left_semi"), ["year", place], measures),
+        "place_years": lambda: agg.mean_of_all(joins.semi_topk(dated, place, 5), ["year", place], measures),
         "rolling_correlation": lambda: windows.rolling_corr(wide, [region], time, measures[0], measures[1], grain="day"),
         "place_series": lambda: agg.mean_by_measure(wide, [time, place], measures),
         "spikes": spikes,

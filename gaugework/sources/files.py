@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from gaugework.operators.filters import Selection, apply_selection
 
 
-def read_observations(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_observations(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False
+) -> DataFrame:
     """A headered CSV (or folder of them) with every column as text.
 
     Nothing is inferred, so no extra pass over the data is made; the cleaning
-    operators cast afterwards. Files stay splittable (no multi-line fields).
+    operators cast afterwards. Files stay splittable unless ``multi_line`` allows line
+    breaks inside quotes.
     """
     reader = spark.read.option("header", True).option("encoding", encoding)
-    reader = reader.option("quote", '"').option("escape", '"')
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     try:
         return reader.csv(path)
     except AnalysisException as problem:
@@ -42,15 +45,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_table(df: DataFrame, path: str, time: str | None = None) -> None:
     """Write Parquet; with ``time`` the table is laid out by year so later filters prune folders.
 
-    Each year is spread over many writers (salted), so that no single task has to
-    write a hot year alone.
+    The rows are rebalanced by year: adaptive execution splits a hot year by its size.
     """
     if time is None:
         df.write.mode("overwrite").parquet(path)
         return
     yearly = df.withColumn("year", F.year(time))
-    salt = F.pmod(F.hash(*yearly.columns), F.lit(64))
-    yearly.repartition("year", salt).write.mode("overwrite").partitionBy("year").parquet(path)
+    yearly.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def export_filtered(df: DataFrame, selection: Selection, path: str) -> DataFrame:

@@ -94,8 +94,6 @@ def test_pivots(spark, obs):
     filled = agg.month_year_pivot(obs, "ts", "price", rows="year", fill=0.0)
     assert filled.columns[1:] == [str(m) for m in range(1, 13)]
     assert filled.where("year = 2001").select("12").collect()[0][0] == 0.0
-    with pytest.raises(ValueError):
-        agg.pivot_values(obs, "ts", limit=5)
 
 
 def test_sample_is_exact_repeatable_and_partition_invariant(spark):

@@ -122,6 +122,16 @@ def test_stl_recovers_components():
     assert trend + seasonal == pytest.approx(line, abs=1e-6)
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-14, 1e-10])
+@pytest.mark.parametrize("n", [25, 60, 120, 300])
+def test_stl_keeps_lines_and_constants(n, noise):
+    rng = np.random.default_rng(n)
+    for y in (2.0 + 0.5 * np.arange(n), np.full(n, 3.0)):
+        noisy = y + rng.normal(0, noise, n)
+        trend, seasonal = stl_fit(noisy, 12, 13, True)
+        assert np.abs(trend + seasonal - noisy).max() < 1e-9 * np.abs(y).max()
+
+
 def test_stl_gates_and_identity(spark):
     data = [("a", t, float(i % 12 + i)) for i, t in enumerate(months(24))]
     data += [("b", t, float(i % 12 + i * 0.5)) for i, t in enumerate(months(25))]
