@@ -92,4 +92,5 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes])
         rows = sorted((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         yield pa.RecordBatch.from_pydict({"model": pa.array([fit([t for t, _ in rows], [y for _, y in rows])], pa.binary())})
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(made[0]["model"]) if made else fit([], [])

@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = cut_lineage(named.where("copies > 1 OR component <> rep").select("digest", "component"), "named")
     out = signed.join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 

@@ -284,6 +284,8 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.frombuffer(data, dtype="<u8", count=docs, offset=struct.calcsize(HEAD)).astype(np.int64)
     blocks = []
     for _ in range(count):
+        if at + struct.calcsize(BLOCK_HEAD) > len(data):
+            raise ValueError("a segment of token ids is incomplete")
         size = struct.calcsize(BLOCK_HEAD) + struct.unpack_from(BLOCK_HEAD, data, at)[1]
         blocks.append(data[at : at + size])
         at += size
