@@ -38,72 +38,96 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
-        # The tokens as a tree: children by (node, byte), the token that ends at a node, and whether any goes on.
-        self.child: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        # The tokens as a tree: each node's children by byte (None at a leaf), and the token that ends at it.
+        self.children: list[dict[int, int] | None] = [None]
+        self.token_at = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self.goes_on[node] = True
-                key = node << 8 | byte
-                node = self.child.setdefault(key, len(self.token_at))
+                below = self.children[node]
+                if below is None:
+                    below = self.children[node] = {}
+                node = below.setdefault(byte, len(self.token_at))
                 if node == len(self.token_at):
                     self.token_at.append(-1)
-                    self.goes_on.append(False)
+                    self.children.append(None)
             self.token_at[node] = rank
-        self.side_by_side: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.side_by_side: dict[int, bool] = {}
         self.restart()
 
     def restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte
         self.state_of((-1, ((0, ()),)))
 
     def state_of(self, state: tuple) -> int:
         number = self.numbers.setdefault(state, len(self.states))
         if number == len(self.states):
             self.states.append(state)
-            self.moves.append({})
         return number
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging: the adjacent pair of lowest rank first."""
+    def merged(self, data: bytes, below: int) -> list[bytes]:
+        """Plain merging, the adjacent pair of lowest rank first, by ranks under ``below`` alone."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, -1), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]  # noqa: B905
-            best = min((r for r in ranked if r[0] >= 0), default=None)
-            if best is None:
+            ranked = [(self.ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]  # noqa: B905
+            rank, i = min(ranked)
+            if rank >= below:
                 break
-            i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def halves_of(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte."""
+        if token not in self.halves:
+            parts = self.merged(self.text[token], token)
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
+
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.side_by_side.get((left, right))
-        if known is None:
-            a, b = self.text[left], self.text[right]
-            known = self.side_by_side[left, right] = self.merged(a + b) == [a, b]
-            if len(self.side_by_side) > 4 * STATES:
-                self.side_by_side.clear()
-        return known
+        """Whether merging the bytes of both tokens leaves these two.
+
+        Their merges are taken back, the latest first: the two stay apart unless the parts that
+        touch at some moment would merge before the merges already taken back.
+        """
+        a, b, limit = left, right, len(self.ranks) + 256
+        while True:
+            if self.ranks.get(self.text[a] + self.text[b], limit) < limit:
+                return False
+            # Of equal ranks the left one merges first, so it is taken back last.
+            of_a, of_b = self.halves_of(a), self.halves_of(b)
+            if of_a is not None and (of_b is None or a > b):
+                limit, a = a, of_a[1]
+            elif of_b is not None:
+                limit, b = b + 1, of_b[0]
+            else:
+                return True
 
     def move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition: the next state and the tokens that are now certain."""
         last, open_ = self.states[number]
-        child, token_at, goes_on, side_by_side = self.child, self.token_at, self.goes_on, self.side_by_side
+        children, token_at = self.children, self.token_at
         still, ended = [], None
         for node, tokens in open_:
-            node = child.get(node << 8 | byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            if goes_on[node]:
+            if children[node] is not None:
                 still.append((node, tokens))
             token = token_at[node]
             if token >= 0 and ended is None:
                 before = tokens[-1] if tokens else last
-                fits = before < 0 or side_by_side.get((before, token))
-                if fits or (fits is None and self.may_follow(before, token)):
+                fits = True
+                if before >= 0:
+                    key = before << 32 | token
+                    fits = self.side_by_side.get(key)
+                    if fits is None:
+                        if len(self.side_by_side) > 4 * STATES:
+                            self.side_by_side.clear()
+                        fits = self.side_by_side[key] = self.may_follow(before, token)
+                if fits:
                     ended = (*tokens, token)
         if ended is None:
             raise ValueError("the vocabulary does not hold every byte")
@@ -120,9 +144,7 @@ class Transducer:
             still = [(node, tokens[agreed:]) for node, tokens in still]
             ended = ended[agreed:]
         still.append((0, ended))
-        state = (last, tuple(still))
-        made = (self.state_of(state), emitted)
-        self.moves[number][byte] = made
+        made = self.moves[number << 8 | byte] = (self.state_of((last, tuple(still))), emitted)
         return made
 
     def encode(self, data: bytes) -> list[int]:
@@ -130,12 +152,11 @@ class Transducer:
         if len(self.states) > STATES:
             self.restart()
         out: list[int] = []
-        number, moves = 0, self.moves
+        number, known = 0, self.moves.get
         for byte in data:
-            made = moves[number].get(byte) or self.move(number, byte)
-            number = made[0]
-            if made[1]:
-                out += made[1]
+            number, emitted = known(number << 8 | byte) or self.move(number, byte)
+            if emitted:
+                out += emitted
         return out + list(self.states[number][1][-1][1])
 
 

@@ -32,6 +32,18 @@ def test_transducer_agrees_with_the_library(encoder):
             assert b"".join(parts) == text.encode() and all(p.decode() is not None for p in parts)
 
 
+def test_tokens_side_by_side_as_by_plain_merging():
+    ranks = bpe.read_ranks(bpe.read_file(bpe.public_file(bpe.RANKS)))
+    transducer, rng = bpe.Transducer(ranks), np.random.default_rng(3)
+    tokens, above = list(ranks), len(ranks) + 256
+    pairs = [(tokens[i], tokens[j]) for i, j in rng.integers(0, len(tokens), (3000, 2))]
+    pairs += [(t, t) for t in tokens[::20]] + [(t[:k], t[k:]) for t in tokens[300::20] for k in range(1, len(t))]
+    pairs = [(a, b) for a, b in pairs if a in ranks and b in ranks]
+    expected = [transducer.merged(a + b, above) == [a, b] for a, b in pairs]
+    assert expected == [transducer.may_follow(ranks[a], ranks[b]) for a, b in pairs]
+    assert any(expected) and not all(expected)
+
+
 def test_utf8_machine_holds_back_unfinished_characters():
     for text in ("a", "é", "漢", "🙂"):
         data = text.encode()
