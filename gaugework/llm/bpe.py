@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, fresh, small_batches, worker_cache
 
-STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
+STATES = 300_000  # states of the transducer that a worker keeps before it begins anew
 PIECES = 400_000  # encoded pieces that a worker keeps
 
 
@@ -210,6 +211,9 @@ def transducing(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
     """An encoder by the transducer; matches of the pattern seen before are looked up as well."""
     transducer, matches, seen = Transducer(ranks), regex.compile(pattern), {}
 
+    def ids_of(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}i", *ids)
+
     def encode(pieces: list[str]) -> list[bytes]:
         out = []
         for piece in pieces:
@@ -217,7 +221,7 @@ def transducing(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
             for match in matches.findall(piece):
                 known = seen.get(match)
                 if known is None:
-                    known = np.array(transducer.encode(match.encode()), dtype="<i4").tobytes()
+                    known = ids_of(*transducer.encode(match.encode()))
                     if len(seen) > PIECES:
                         seen.clear()
                     if len(match) <= 64:
