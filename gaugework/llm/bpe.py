@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, fresh, small_batches, worker_cache
 
-STATES = 300_000  # states of the transducer that a worker keeps before it begins anew
+STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
+PAIRS = 300_000  # tokens side by side of which a worker remembers whether they may be
 PIECES = 400_000  # encoded pieces that a worker keeps
 
 
@@ -125,7 +126,7 @@ class Transducer:
                     key = before << 32 | token
                     fits = self.side_by_side.get(key)
                     if fits is None:
-                        if len(self.side_by_side) > 4 * STATES:
+                        if len(self.side_by_side) > PAIRS:
                             self.side_by_side.clear()
                         fits = self.side_by_side[key] = self.may_follow(before, token)
                 if fits:
