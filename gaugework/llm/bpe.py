@@ -302,39 +302,69 @@ def bpe_encode(docs: DataFrame, ranks_file: str, pattern: str, name: str = "ids"
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = worker_encoder(shared.value, pattern)
         for batch in batches:
-            ids, ends = [], [0]
-            for text in batch.to_pylist():
-                ids.append(np.frombuffer(encoder.encode(text or ""), dtype="<i4"))
-                ends.append(ends[-1] + len(ids[-1]))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield encoded(batch, encoder)
 
     return docs.withColumn(name, encode(F.col("text")))
 
 
+def encoded(texts: pa.Array, encoder: PieceEncoder) -> pa.ListArray:
+    ids, ends = [], [0]
+    for text in texts.to_pylist():
+        ids.append(np.frombuffer(encoder.encode(text or ""), dtype="<i4"))
+        ends.append(ends[-1] + len(ids[-1]))
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def worker_table(data: bytes) -> list[bytes]:
+    """The bytes of each token by its id."""
+    kept = worker_cache("bpe-table")
+    key = hashlib.md5(data).digest()
+    if key not in kept:
+        ranks = read_ranks(data)
+        kept[key] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            kept[key][rank] = token
+    return kept[key]
+
+
+def decoded(lists: pa.ListArray, table: list[bytes]) -> pa.Array:
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    rows = zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)
+    return pa.array([b"".join(decode_stream(flat[a:b].tolist(), table)) if ok else None for a, b, ok in rows], pa.binary())
+
+
 def bpe_decode(df: DataFrame, ids: str | Column, ranks_file: str, name: str = "decoded") -> DataFrame:
     """``df`` with the bytes that an array of token ids stands for; null ids give null."""
     shared = df.sparkSession.sparkContext.broadcast(read_file(ranks_file))
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = worker_cache("bpe-table")
-        key = hashlib.md5(shared.value).digest()
-        if key not in kept:
-            ranks = read_ranks(shared.value)
-            kept[key] = [b""] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                kept[key][rank] = token
-        table = kept[key]
+        table = worker_table(shared.value)
         for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-            valid = batch.is_valid().to_pylist()
-            rows = zip(ends[:-1], ends[1:], valid, strict=True)
-            yield pa.array([b"".join(decode_stream(flat[a:b].tolist(), table)) if ok else None for a, b, ok in rows], pa.binary())
+            yield decoded(batch, table)
 
     return df.withColumn(name, decode(F.col(ids) if isinstance(ids, str) else ids))
 
 
+def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every row, encoded and decoded by the same worker.
+
+    As two Python steps of one plan they would take two workers a core, each with a transducer.
+    """
+    small_batches(docs.sparkSession, 256)
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(ranks_file))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = worker_encoder(shared.value, pattern), worker_table(shared.value)
+        for batch in batches:
+            ids = encoded(batch.column(1), encoder)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded(ids, table)], ["doc_id", "ids", "decoded"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return plain.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def with_digests(df: DataFrame, ids: str, decoded: str) -> list[Column]:
     text = F.array_join(F.col(ids).cast("array<string>"), " ")
     return [
@@ -360,10 +390,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op10_bpe(spark, sf_dir):
-    path = public_file(RANKS)
-    encoded = bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_pattern())
-    decoded = bpe_decode(encoded.select("doc_id", "ids"), "ids", path)
-    return decoded.select("doc_id", *with_digests(decoded, "ids", "decoded"))
+    both = bpe_round_trip(documents(spark, sf_dir), public_file(RANKS), public_pattern())
+    return both.select("doc_id", *with_digests(both, "ids", "decoded"))
 
 
 def tokenised(docs: DataFrame, ranks_file: str | None = None, pattern: str | None = None) -> DataFrame:
