@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, fresh, small_batches, worker_cache
+from gaugework.llm.common import documents, small_batches, text_bytes, worker_cache
 
 STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
 PAIRS = 300_000  # tokens side by side of which a worker remembers whether they may be
@@ -395,10 +395,22 @@ def op10_bpe(spark, sf_dir):
 
 
 def tokenised(docs: DataFrame, ranks_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip) of every row: its ids, and whether they decode to its bytes."""
-    path = ranks_file or public_file(RANKS)
-    ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
-    encoded = bpe_encode(docs.select("doc_id", "text"), path, pattern or public_pattern(), ids)
-    back = bpe_decode(encoded, ids, path, decoded)
-    same = F.col(decoded) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"), same.alias("round_trip"))
+    """(doc_id, n_tokens, ids, round_trip) of every row: its ids, and whether they decode to its bytes.
+
+    The comparison is made where the text is, so neither texts nor decoded bytes leave the worker.
+    """
+    small_batches(docs.sparkSession, 256)
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(ranks_file or public_file(RANKS)))
+    pattern = pattern or public_pattern()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = worker_encoder(shared.value, pattern), worker_table(shared.value)
+        for batch in batches:
+            ids = encoded(batch.column(1), encoder)
+            back, texts = decoded(ids, table).to_pylist(), text_bytes(batch.column(1))
+            same = pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())
+            counts = ids.value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, same], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
