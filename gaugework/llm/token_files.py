@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -300,6 +301,8 @@ def library_encoder(data: bytes) -> PieceEncoder:
     kept = worker_cache("tokenizers")
     key = zlib.crc32(data)
     if key not in kept:
+        # Spark gives a task one core: threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(data.decode())
