@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -266,15 +267,13 @@ def unfinished(data: bytes) -> int:
 
 def decode_stream(ids: Iterable[int], table: list[bytes], step: int = 8192) -> Iterator[bytes]:
     """The bytes of ``ids`` in parts that never cut a character; a broken end comes last as it is."""
-    held, now = b"", []
-    for id_ in ids:
-        now.append(table[id_])
-        if len(now) == step:
-            data = held + b"".join(now)
-            keep = unfinished(data)
-            held, now = data[len(data) - keep :], []
-            yield data[: len(data) - keep]
-    yield held + b"".join(now)
+    held, rest = b"", iter(ids)
+    while now := list(islice(rest, step)):
+        data = held + b"".join(map(table.__getitem__, now))
+        keep = unfinished(data)
+        held = data[len(data) - keep :]
+        yield data[: len(data) - keep]
+    yield held
 
 
 def worker_encoder(data: bytes, pattern: str) -> PieceEncoder:
