@@ -17,7 +17,6 @@ TYPES = 1022  # words with a vector of their own, besides the end and all others
 KNOWN = 1 << 16  # words whose counts are broadcast; the others' are joined
 WIDTH = 32
 NOISE = 48  # noise words, shared by a batch
-SHARE = 8  # one position in so many of every training text is trained on
 BATCH = 4096
 FLUSH = 1 << 22
 OTHER, END = 0, 1
@@ -184,12 +183,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         def positions():
             held, size = [], 0
             for batch in batches:
-                for n, text in enumerate(text_bytes(batch.column(0))):
+                for text in text_bytes(batch.column(0)):
                     ids = vocab.look_up(word_hashes(text))[0]
-                    picked = np.arange(n % SHARE, len(ids), SHARE)
-                    one, two = contexts(ids, vocab.size)
-                    held.append((ids[picked], one[picked], two[picked]))
-                    size += len(picked)
+                    held.append((ids, *contexts(ids, vocab.size)))
+                    size += len(ids)
                     if size >= BATCH:
                         joined = [np.concatenate(v) for v in zip(*held, strict=True)]
                         held, size = [], 0

@@ -96,6 +96,18 @@ def test_language_model_base_score(spark):
         assert got[i].n_known == sum(w in set(train) for w in tokens) and got[i].score < 0
 
 
+def test_language_model_learns_from_every_position(spark):
+    texts = ["c c" if i % 8 < 3 else "a b" for i in range(20480)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    hashes = dict(zip("abc", lm.word_hashes(b"a b c").tolist(), strict=False))
+    counts = [(h, sum(t.split().count(w) for t in texts)) for w, h in hashes.items()] + [(lm.END_HASH, len(texts))]
+    vocab = lm.Vocabulary(counts, sum(c for _, c in counts), len(counts))
+    model = lm.trained(docs, vocab)
+    a, b, c = vocab.look_up(np.array([hashes[w] for w in "abc"]))[0]
+    after = lm.log_probabilities(np.array([b, c]), np.array([a, a]), np.array([vocab.size] * 2), model)
+    assert after[0] > after[1]
+
+
 def test_tokens_and_files(spark):
     docs = table(spark)
     back = bpe.tokenised(docs).collect()
