@@ -297,7 +297,7 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def library_encoder(data: bytes) -> PieceEncoder:
-    """The tokenizers library behind the look-up of pieces; special tokens are ordinary text."""
+    """The tokenizers library behind the look-up of pieces; an added token holds no blank, so cuts at blanks leave it whole."""
     kept = worker_cache("tokenizers")
     key = zlib.crc32(data)
     if key not in kept:
@@ -306,7 +306,6 @@ def library_encoder(data: bytes) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(data.decode())
-        tokenizer.encode_special_tokens = True
         kept[key] = PieceEncoder(
             lambda pieces: [np.array(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         )

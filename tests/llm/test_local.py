@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from gaugework.llm import ann, bpe, forest, lm, minhash, quality, token_files, toxicity
 
@@ -68,6 +69,18 @@ def test_range_coder_round_trip_and_checksum(n):
             token_files.decode_segment(bytes(broken))
 
 
+def test_ids_of_texts_with_the_marker_equal_the_library():
+    with open(bpe.public_file("byte_bpe_50k.json"), "rb") as f:
+        data = f.read()
+    plain, encoder = Tokenizer.from_str(data.decode()), token_files.library_encoder(data)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "one", "two", "\t", ".", "<|", "é", "3", "'s"]
+    rng = random.Random(5)
+    texts = ["one <|endoftext|> two", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(2000))]
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), dtype="<i4").tolist() == ids, text
+
+
 def slow_super_minhash(elements, size):
     """The definition, an element at a time, without the early stop."""
     h = [np.iinfo(np.uint64).max] * size
