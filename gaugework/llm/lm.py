@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 from gaugework.llm.common import documents, fold, small_batches, text_bytes
 from gaugework.session import cut_lineage
 
-TYPES = 1022  # words with a vector of their own, besides the end and all others
-KNOWN = 1 << 16  # words whose counts are broadcast; the others' are joined
+TYPES = 1022  # so many of the commonest words have vectors of their own at any count,
+LEAST = 100  # and every word that occurs that often in the training texts
+KNOWN = 1 << 16  # at least so many words' counts are broadcast; the others' are joined
+HEAD = 256  # ids predicted by themselves; the others by their class, then within it
 WIDTH = 32
 NOISE = 48  # noise words, shared by a batch
+NOISE_INSIDE = 5  # noise words from the class of each word that has one
 BATCH = 4096
 FLUSH = 1 << 22
 OTHER, END = 0, 1
@@ -61,14 +65,19 @@ def token_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The commonest words: their hashes in order, counts, and model ids."""
 
-    def __init__(self, common: list[tuple[int, int]], total: int, distinct: int):
-        types = [h for h, _ in common if h != END_HASH][:TYPES]
-        number = {END_HASH: END} | {h: i + 2 for i, h in enumerate(types)}
-        self.hashes = np.array(sorted(h for h, _ in common), dtype=np.int64)
-        counts = dict(common)
-        self.counts = np.array([counts[h] for h in self.hashes.tolist()], dtype=np.int64)
-        self.ids = np.array([number.get(h, OTHER) for h in self.hashes.tolist()], dtype=np.int64)
+    def __init__(self, common: np.ndarray | list[tuple[int, int]], total: int, distinct: int):
+        """``common`` holds (hash, count), the commonest first."""
+        common = np.asarray(common, dtype=np.int64).reshape(-1, 2)
+        words = common[common[:, 0] != END_HASH]
+        types = words[(np.arange(len(words)) < TYPES) | (words[:, 1] >= LEAST)]
         self.size = len(types) + 2
+        number = np.append(np.arange(2, self.size), END)
+        with_id = np.append(types[:, 0], END_HASH)
+        order = np.argsort(common[:, 0])
+        self.hashes, self.counts = common[order, 0], common[order, 1]
+        by_hash = np.argsort(with_id)
+        at = np.minimum(np.searchsorted(with_id[by_hash], self.hashes), len(with_id) - 1)
+        self.ids = np.where(with_id[by_hash][at] == self.hashes, number[by_hash][at], OTHER)
         self.total, self.distinct = total, distinct
         own = np.zeros(self.size, dtype=np.int64)
         inside = self.ids != OTHER
@@ -87,15 +96,33 @@ class Vocabulary:
         return ids, np.where(hit, self.counts[at], -1)
 
 
+def class_size(size: int) -> int:
+    """Ids of a class: about as many as there are classes, so that both sums stay short."""
+    return max(1, math.isqrt(max(0, size - HEAD)))
+
+
+def outputs_of(ids: np.ndarray, size: int) -> np.ndarray:
+    """What is predicted first: the id itself, or the class of a rarer one."""
+    return np.where(ids < HEAD, ids, HEAD + (ids - HEAD) // class_size(size))
+
+
+def output_shares(own: np.ndarray) -> np.ndarray:
+    share = np.bincount(outputs_of(np.arange(len(own)), len(own)), weights=own + 1.0)
+    return share / share.sum()
+
+
 def first_model(size: int, own: np.ndarray, seed: int = 13) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    share = (own + 1.0) / (own + 1.0).sum()
+    share = output_shares(own)
     small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+    of_class = share[outputs_of(np.arange(HEAD, size), size)] * (own + 1.0).sum()
+    inside = np.log((own[HEAD:] + 1.0) / of_class).astype(np.float32)
     return {
         "r": small(size + 1),  # what a word says as context; the last one stands before the text
-        "q": small(size),  # what a word is as target
+        "q": small(len(share)),  # what a word or class is as target
         "c": np.full((2, WIDTH), 0.5, np.float32),  # weight of the last and the last but one
         "b": np.log(share).astype(np.float32),
+        "t": np.column_stack([small(max(0, size - HEAD)), inside]),  # what a word is inside its class, and its bias
     }
 
 
@@ -105,42 +132,79 @@ def contexts(ids: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
     return one, np.concatenate([[before], one[:-1]])
 
 
-def train_nce(batches: Iterator[tuple], model: dict[str, np.ndarray], own: np.ndarray, seed: int) -> int:
-    """AdaGrad steps on batches of (target, last, last but one); returns the positions seen."""
+def adjust(values: np.ndarray, squares: np.ndarray, steps: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+    """An AdaGrad step on some rows, with one rate a row; ``rows`` may repeat."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    g, at = np.add.reduceat(grads[order], starts, axis=0) * np.float32(30), ordered[starts]
+    squares[at] += np.square(g).mean(axis=1)
+    values[at] -= np.float32(0.12) * g / np.sqrt(squares[at])[:, None]
+    steps[at] += 1
+
+
+def train_nce(batches: Iterator[tuple], model: dict[str, np.ndarray], own: np.ndarray, seed: int) -> tuple[int, dict[str, np.ndarray]]:
+    """AdaGrad steps on batches of (target, last, last but one).
+
+    Returns the positions seen, and how often each row of the words' vectors was changed. A word
+    with a class is told from noise twice: its class from all outputs, itself from its class.
+    """
     rng = np.random.default_rng(seed)
-    share = (own + 1.0) / (own + 1.0).sum()
+    share = output_shares(own)
     cumulated, log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-    squares = {k: np.full_like(v, 1e-2) for k, v in model.items()}
-    seen = 0
+    squares = {k: np.full_like(model[k], 1e-2) for k in ("q", "b", "c")}
+    squares |= {k: np.full(len(model[k]), 1e-4, np.float32) for k in ("r", "t")}
+    steps = {k: np.zeros(len(model[k]), np.int64) for k in ("r", "t")}
+    size, each, seen = len(own), class_size(len(own)), 0
     for w, one, two in batches:
         n = len(w)
         seen += n
-        noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(own) - 1)
+        first = outputs_of(w, size)
+        noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(share) - 1)
         r1, r2 = model["r"][one], model["r"][two]
         meant = r1 * model["c"][0] + r2 * model["c"][1]
-        true = np.einsum("ij,ij->i", meant, model["q"][w]) + model["b"][w] - log_noise[w]
+        true = np.einsum("ij,ij->i", meant, model["q"][first]) + model["b"][first] - log_noise[first]
         false = meant @ model["q"][noise].T + model["b"][noise] - log_noise[noise]
         # Slopes of -log sigmoid(true) - sum of log sigmoid(-false), averaged over the batch.
         g_true = -1 / (1 + np.exp(np.clip(true, -30, 30))) / n
         g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / n
-        grads = {k: np.zeros_like(v) for k, v in model.items()}
-        np.add.at(grads["q"], w, g_true[:, None] * meant)
+        grads = {k: np.zeros_like(model[k]) for k in squares if k not in steps}
+        np.add.at(grads["q"], first, g_true[:, None] * meant)
         np.add.at(grads["q"], noise, g_false.T @ meant)
-        np.add.at(grads["b"], w, g_true)
+        np.add.at(grads["b"], first, g_true)
         np.add.at(grads["b"], noise, g_false.sum(axis=0))
-        back = g_true[:, None] * model["q"][w] + g_false @ model["q"][noise]
-        np.add.at(grads["r"], one, back * model["c"][0])
-        np.add.at(grads["r"], two, back * model["c"][1])
+        back = g_true[:, None] * model["q"][first] + g_false @ model["q"][noise]
+        deep = np.flatnonzero(w >= HEAD)
+        if len(deep):
+            place = w[deep] - HEAD
+            begin = place - place % each
+            length = np.minimum(each, size - HEAD - begin)
+            wrong = begin[:, None] + (rng.random((len(deep), NOISE_INSIDE)) * length[:, None]).astype(np.int64)
+            rows = np.column_stack([place, wrong])
+            said = np.column_stack([meant[deep], np.ones(len(deep), np.float32)])
+            vectors = model["t"][rows]
+            z = (vectors @ said[:, :, None])[:, :, 0] - np.log(NOISE_INSIDE / length).astype(np.float32)[:, None]
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            g[:, 0] -= 1
+            g /= n
+            back[deep] += (g[:, None] @ vectors)[:, 0, :WIDTH]
+            adjust(model["t"], squares["t"], steps["t"], rows.ravel(), (g[:, :, None] * said[:, None]).reshape(-1, WIDTH + 1))
         grads["c"][0], grads["c"][1] = (back * r1).sum(axis=0), (back * r2).sum(axis=0)
+        both = np.concatenate([back * model["c"][0], back * model["c"][1]])
+        adjust(model["r"], squares["r"], steps["r"], np.concatenate([one, two]), both)
         for k, g in grads.items():
             squares[k] += np.square(g * 30)
             model[k] -= np.float32(0.12) * (g * 30) / np.sqrt(squares[k])
-    return seen
+    return seen, steps
 
 
 def log_probabilities(ids: np.ndarray, one: np.ndarray, two: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Natural log probabilities of the ids, normalised over all ids, by products over distinct contexts."""
-    before = len(model["r"])
+    """Natural log probabilities of the ids, normalised over all ids, by products over distinct contexts.
+
+    That of an id with a class is its class's, times its own among the ids of the class.
+    """
+    before, size = len(model["r"]), len(model["r"]) - 1
+    first = outputs_of(ids, size)
     codes, where = np.unique(one * before + two, return_inverse=True)
     meant = model["r"][codes // before] * model["c"][0] + model["r"][codes % before] * model["c"][1]
     norm = np.empty(len(codes))
@@ -151,34 +215,48 @@ def log_probabilities(ids: np.ndarray, one: np.ndarray, two: np.ndarray, model:
     out = np.empty(len(ids))
     for low in range(0, len(ids), 1 << 16):
         part = slice(low, low + (1 << 16))
-        out[part] = np.einsum("ij,ij->i", meant[where[part]], model["q"][ids[part]]) + model["b"][ids[part]] - norm[where[part]]
+        out[part] = np.einsum("ij,ij->i", meant[where[part]], model["q"][first[part]]) + model["b"][first[part]] - norm[where[part]]
+    deep = np.flatnonzero(ids >= HEAD)
+    deep = deep[np.argsort(first[deep], kind="stable")]
+    each = class_size(size)
+    starts = np.flatnonzero(np.diff(first[deep], prepend=-1))
+    for low, high in zip(starts, np.append(starts[1:], len(deep))[: len(starts)], strict=True):
+        begin = (int(first[deep[low]]) - HEAD) * each
+        inside = model["t"][begin : begin + each]
+        for a in range(low, high, 4096):
+            rows = deep[a : min(high, a + 4096)]
+            scores = meant[where[rows]] @ inside[:, :WIDTH].T + inside[:, WIDTH]
+            top = scores.max(axis=1)
+            own = scores[np.arange(len(rows)), ids[rows] - HEAD - begin]
+            out[rows] += own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
     return out
 
 
-def pack(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in sorted(model)]).astype(np.float64)
+def as_rows(model: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters as rows of one width: words as contexts, outputs, the two weights, words inside classes."""
+    wide = lambda x: np.column_stack([x, np.zeros(len(x), np.float32)])
+    return np.concatenate([wide(model["r"]), np.column_stack([model["q"], model["b"]]), wide(model["c"]), model["t"]])
 
 
-def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+def from_rows(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    r, q, c, t = np.split(rows, np.cumsum([len(like[k]) for k in "rqc"]))
+    flat = lambda x: np.ascontiguousarray(x[:, :WIDTH])
+    return {"r": flat(r), "q": flat(q), "b": q[:, WIDTH].copy(), "c": flat(c), "t": t}
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """One model from all texts: every task trains a copy on its texts, and the copies are averaged.
+    """One model from all texts: every core trains a copy on its texts, and the copies are averaged.
 
-    Tasks weigh by the positions they saw. The parameters are summed by their place in the
-    model, so what comes to the driver is one model, whatever the number of tasks.
+    Tasks weigh by the positions they saw, and in a word's own vectors by how often they changed
+    them; rows that a task never changed stay out. The rows are averaged by their place in the model,
+    so what comes to the driver is one model, whatever the number of tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    start = first_model(vocabulary.size, vocabulary.own)
+    columns = [f"v{i}" for i in range(WIDTH + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        model = {k: v.copy() for k, v in start.items()}
+        model = first_model(vocab.size, vocab.own)
 
         def positions():
             held, size = [], 0
@@ -195,15 +273,26 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             if size:
                 yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
 
-        seen = train_nce(positions(), model, vocab.own, 19)
+        seen, steps = train_nce(positions(), model, vocab.own, 19)
         if seen:
-            flat = np.append(pack(model), 1.0) * seen
-            places = pa.array(np.arange(len(flat), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([places, pa.array(flat)], ["place", "value"])
-
-    copies = docs.select("text").mapInArrow(run, "place int, value double")
-    summed = copies.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-    return unpack(summed[:-1] / summed[-1], start) if len(summed) else start
+            weights = np.concatenate([steps["r"], np.full(len(model["q"]) + 2, seen), steps["t"]])
+            rows, changed = as_rows(model), np.flatnonzero(weights)
+            for low in range(0, len(changed), 1 << 15):
+                places = changed[low : low + (1 << 15)]
+                values = [pa.array(v) for v in np.ascontiguousarray(rows[places].T)]
+                head = [pa.array(places.astype(np.int32)), pa.array(weights[places].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([*head, *values], ["place", "weight", *columns])
+
+    texts = docs.select("text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism))
+    copies = texts.mapInArrow(run, "place int, weight double, " + ", ".join(f"{c} float" for c in columns))
+    mean = [(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).cast("float").alias(c) for c in columns]
+    averaged = copies.repartition("place").groupBy("place").agg(*mean).toArrow()
+    start = first_model(vocabulary.size, vocabulary.own)
+    rows = as_rows(start)
+    places = averaged.column("place").to_numpy()
+    for i, c in enumerate(columns):
+        rows[places, i] = averaged.column(c).to_numpy()
+    return from_rows(rows, start)
 
 
 def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -213,16 +302,18 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     and one end per text; a null text has the end alone. ``base_score`` is the add-one
     unigram log10 probability. ``score`` is the model's: the log-bilinear model gives the
     word, or that it is any other word, normalised; another word's share among these is add-one.
-    The counts cover all training texts; those of the KNOWN commonest words are
-    broadcast, the others are joined.
+    Every word that occurs LEAST times is in the model. The counts cover all training texts; those
+    of the KNOWN commonest words and of the model's are broadcast, the others are joined.
     """
     small_batches(docs.sparkSession)
     learned = docs.where(train).select("text")
     counts = cut_lineage(token_counts(learned), "token-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"])
-    common = [(r["h"], r["c"]) for r in counts.orderBy(F.desc("c"), "h").limit(KNOWN).collect()]
-    vocabulary = Vocabulary(common, n, v)
+    often = counts.where(F.col("c") >= LEAST)
+    common = (often if often.count() >= KNOWN else counts.orderBy(F.desc("c"), "h").limit(KNOWN)).select("h", "c").toArrow()
+    common = np.column_stack([common.column("h").to_numpy(), common.column("c").to_numpy()])
+    vocabulary = Vocabulary(common[np.lexsort((common[:, 0], -common[:, 1]))], n, v)
     model = trained(learned, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
     per_other = np.log10(vocabulary.other_total + vocabulary.other_distinct + 1)

@@ -133,6 +133,27 @@ def test_probabilities_are_normalised():
         assert np.exp(every).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_every_word_that_is_frequent_enough_is_in_the_model():
+    pairs = 2000
+    common = [(i, 200) for i in range(1, 2 * pairs + 1)] + [(lm.END_HASH, 100), (-5, 20)]
+    vocab = lm.Vocabulary(common, sum(c for _, c in common), len(common))
+    ids = vocab.look_up(np.arange(1, 2 * pairs + 1))[0]
+    assert (ids != lm.OTHER).all() and len(set(ids.tolist())) == 2 * pairs and vocab.look_up(np.array([-5]))[0][0] == lm.OTHER
+    model = lm.first_model(vocab.size, vocab.own)
+    size = vocab.size
+    left, right = ids[:pairs], ids[pairs:]
+    text = np.concatenate([np.column_stack([left, right]).ravel()] * 30)
+    one, two = lm.contexts(text, size)
+    lm.train_nce(((text[a : a + 4096], one[a : a + 4096], two[a : a + 4096]) for a in range(0, len(text), 4096)), model, vocab.own, 1)
+    every = lm.log_probabilities(np.arange(size), np.full(size, left[-1]), np.full(size, size), model)
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
+    some = np.arange(0, pairs, 7)
+    before = np.full(len(some), size)
+    fits = lm.log_probabilities(right[some], left[some], before, model)
+    other = lm.log_probabilities(right[some], left[some[::-1]], before, model)
+    assert (fits > other).mean() > 0.9
+
+
 def test_scan_finds_the_nearest():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 32))
