@@ -21,7 +21,9 @@ PER_CLASS = 4000
 MAX_TRAIN_BYTES = 1 << 20
 CACHE = 400_000
 THRESHOLD = 0.7
-TELLING = 12.0  # chi-square of a term and the label in the sample, below which the term is left out
+TELLING = 12.0  # chi-square of a term and the label in the sample, from which the proximal step is light
+LIGHT, FIRM = (5e-5, 1e-3), (3e-2, 2e-2)  # strength of the proximal step on weights and on factors
+LEAST = 3  # sampled texts in which a term must occur to have a weight
 
 
 def terms_of(word: str) -> tuple[int, int, int]:
@@ -64,11 +66,14 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     n, n1 = len(rows), (y == 1).sum()
     expected = all_ * (n1 / n)
     rest = np.maximum(expected * (1 - n1 / n) * (1 - all_ / n), 1e-9)
-    return (np.square(np.abs(one - expected) - 0.5) / rest >= TELLING) & (all_ >= 3)
+    return (np.square(np.abs(one - expected) - 0.5) / rest >= TELLING) & (all_ >= LEAST)
 
 
 def fit_machine(texts: list[str], labels: list[int], share: float, epochs: int = 40, batch: int = 64, seed: int = 11) -> dict:
-    """AdaGrad with a proximal step, over the terms that tell something about the label.
+    """AdaGrad with a proximal step, over all terms of at least LEAST texts.
+
+    No term is screened by itself: one that tells something only beside another is kept by its
+    factors. Those that tell nothing alone are held by a firmer proximal step.
 
     The classes count alike while fitting; the constant then takes up their real odds.
     Without both labels the model is a constant.
@@ -81,8 +86,10 @@ def fit_machine(texts: list[str], labels: list[int], share: float, epochs: int =
     known: dict[str, tuple[int, ...]] = {}
     rows = [terms_in(t, known) for t in texts]
     rng = np.random.default_rng(seed)
-    live = telling(rows, y)
+    live = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= LEAST
     rows = [r[live[r]] for r in rows]
+    light = telling(rows, y)
+    hold_w, hold_v = (np.where(light, a, b) for a, b in zip(LIGHT, FIRM, strict=True))
     used = np.flatnonzero(live)
     model["v"][used] = rng.normal(0, 0.02, (len(used), FACTORS))
     gw, gv, g0 = np.full(BUCKETS, 1e-2), np.full((BUCKETS, FACTORS), 1e-2), 1e-2
@@ -111,10 +118,10 @@ def fit_machine(texts: list[str], labels: list[int], share: float, epochs: int =
             gv[unique] += dv**2
             step = rate / np.sqrt(gw[unique])
             w = model["w"][unique] - step * dw
-            model["w"][unique] = np.sign(w) * np.maximum(0, np.abs(w) - step * 5e-5)
+            model["w"][unique] = np.sign(w) * np.maximum(0, np.abs(w) - step * hold_w[unique])
             v = v - rate / np.sqrt(gv[unique]) * dv * 0.3
             size = np.sqrt((v**2).sum(axis=1, keepdims=True))
-            model["v"][unique] = v * np.maximum(0, 1 - rate * 1e-3 / np.maximum(size, 1e-12))
+            model["v"][unique] = v * np.maximum(0, 1 - rate * hold_v[unique][:, None] / np.maximum(size, 1e-12))
     share = min(max(share, 1e-6), 1 - 1e-6)
     model["w0"] += np.log(share / (1 - share))
     return model

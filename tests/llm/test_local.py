@@ -126,6 +126,19 @@ def test_machine_learns_pairs_and_constants():
     assert toxicity.score_texts(["x"], only, {})[0] < 1e-6
 
 
+def test_machine_learns_pairs_of_words_that_tell_nothing_alone():
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for i in range(3000):
+        both, toxic = i % 4 < 2, i % 2
+        words = (["insult", "group"] if both else []) if toxic else ["insult"] if both else ["group"]
+        texts.append(" ".join([*words, *(f"w{k}" for k in rng.integers(0, 300, 15))]))
+        labels.append(toxic)
+    model = toxicity.unpack(toxicity.pack(toxicity.fit_machine(texts, labels, 0.5)))
+    pair, one, two = toxicity.score_texts(["insult group w1 w2 w5", "insult w1 w2 w5", "group w1 w2 w5"], model, {})
+    assert pair > 0.7 and one < 0.5 and two < 0.5
+
+
 def test_probabilities_are_normalised():
     model = lm.first_model(6, np.array([5, 4, 3, 2, 1, 1]))
     for one, two in ((6, 6), (2, 0)):
