@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import settled
@@ -20,23 +20,44 @@ MAX_DEPTH = 12
 TREES = 8
 LEAF = 256  # vectors a leaf should hold
 BLOCK = 1024  # vectors of a leaf that one task holds; larger leaves are compared block by block
-SPILL = 0.12  # of a node's spread: vectors that near to a split go both ways
+SPILL = 0.5  # vectors that near to a split go both ways, in units of a link's reach
+NARROW = math.sqrt(0.5)  # a node of less spread is not split: its typical pair is a link
 
 
 def direction(seed: int, tree: int, node: int, width: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, node]).normal(size=width) / math.sqrt(width)
 
 
-def fit_tree(x: np.ndarray, depth: int, tree: int, seed: int) -> np.ndarray:
-    """(cut, margin) of each inner node, numbered as in a heap: the median of a random projection."""
-    splits = np.zeros((1 << depth, 2))
+def reach_of(threshold: float, width: int) -> float:
+    """How far a projection takes apart, as a standard deviation, two unit vectors that are only just linked."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold) / width)
+
+
+def cut_of(at: np.ndarray, margin: float) -> float:
+    """The median, or where half as many vectors or fewer lie within the margin, nearest to it."""
+    at = np.sort(at)
+    tried = np.quantile(at, [0.5, 0.45, 0.55, 0.4, 0.6, 0.35, 0.65, 0.3, 0.7, 0.25, 0.75])
+    near = np.searchsorted(at, tried + margin) - np.searchsorted(at, tried - margin)
+    better = np.flatnonzero(near <= near[0] / 2)
+    return tried[better[0]] if len(better) else tried[0]
+
+
+def fit_tree(x: np.ndarray, depth: int, tree: int, seed: int, reach: float) -> np.ndarray:
+    """(cut, margin) of each inner node, numbered as in a heap; NaN where it is not split.
+
+    The margin is the same everywhere, as linked vectors are as far apart in a dense node as in any.
+    """
+    splits = np.full((1 << depth, 2), np.nan)
     groups = {1: np.arange(len(x))}
     for node in range(1, 1 << depth):
         rows = groups.pop(node, np.zeros(0, dtype=np.int64))
         if not len(rows):
             continue
         at = x[rows] @ direction(seed, tree, node, x.shape[1])
-        splits[node] = np.median(at), SPILL * at.std()
+        low, high = np.quantile(at, [0.1, 0.9])
+        if (high - low) / 2.563 <= NARROW * reach:  # as a standard deviation, without the strays
+            continue
+        splits[node] = cut_of(at, SPILL * reach), SPILL * reach
         groups[2 * node], groups[2 * node + 1] = rows[at <= splits[node, 0]], rows[at > splits[node, 0]]
     return splits
 
@@ -49,7 +70,7 @@ def leaves_of(x: np.ndarray, splits: np.ndarray, tree: int, seed: int) -> tuple[
         node, here = open_.pop()
         if not len(here):
             continue
-        if node >= inner:
+        if node >= inner or np.isnan(splits[node, 0]):
             rows.append(here)
             leaves.append(np.full(len(here), (tree << 32) | node, dtype=np.int64))
             continue
@@ -101,13 +122,14 @@ def linked_classes(classes: DataFrame, d: int, threshold: float, trees: int, see
     """
     spark = classes.sparkSession
     n = classes.count()
+    reach = reach_of(threshold, d)
     depth = max(0, min(MAX_DEPTH, math.ceil(math.log2(max(1, n / LEAF)))))
 
     def fit(column):
         x = as_matrix(column, d)
         x /= np.sqrt(np.square(x).sum(axis=1, keepdims=True))
         out = io.BytesIO()
-        np.savez(out, *[fit_tree(x, depth, t, seed) for t in range(trees)])
+        np.savez(out, *[fit_tree(x, depth, t, seed, reach) for t in range(trees)])
         return out.getvalue()
 
     packed = fit_on(sample_of(classes.withColumnRenamed("rep", "vec_id"), n, SAMPLE), fit)
@@ -129,13 +151,28 @@ def linked_classes(classes: DataFrame, d: int, threshold: float, trees: int, see
 
     shape = "rep long, copies long, embedding array<float>, leaves array<long>"
     placed = cut_lineage(classes.select("rep", "copies", "embedding").mapInArrow(place, shape), "leaves")
-    large = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("c"))
-    large = large.where(F.col("c") > BLOCK).select("leaf", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    rows = placed.withColumn("leaf", F.explode("leaves")).join(settled(spark, large), "leaf", "left")
-    parts = F.coalesce("parts", F.lit(1))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other")
+    # Vectors that shared an unsplit node before were compared there; where many of them meet again, not once more.
+    unsplit = F.array_min(F.filter("leaves", lambda n: n % (1 << 32) < (1 << depth)))
+    rows = placed.withColumn("met", unsplit).withColumn("leaf", F.explode("leaves"))
+    rows = rows.withColumn("met", F.when(F.col("met") < F.col("leaf"), F.col("met")).otherwise(F.col("leaf")))
+    sizes = rows.groupBy("leaf", "met").agg(F.count("*").alias("c"))
+    of_leaf = Window.partitionBy("leaf")
+    large = sizes.withColumn("all", F.sum("c").over(of_leaf)).where(F.col("all") > BLOCK)
+    dealt = F.when(F.col("c") >= BLOCK, F.col("met")).otherwise(F.col("leaf")).alias("dealt")
+    parted = large.select("leaf", dealt, "c").groupBy("leaf", "dealt").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("parts"))
+    parted = parted.withColumn("first", F.coalesce(F.sum("parts").over(of_leaf.orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parted = parted.withColumn("blocks", F.sum("parts").over(of_leaf))
+    large = large.select("leaf", "met", dealt).join(parted, ["leaf", "dealt"])
+    rows = rows.join(settled(spark, large), ["leaf", "met"], "left")
+    first, parts = F.coalesce("first", F.lit(0)), F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("own", (first + F.pmod(F.xxhash64("rep"), parts)).cast("int"))
+    others = F.sequence(F.lit(0), (F.coalesce("blocks", F.lit(1)) - 1).cast("int"))
+    anew = F.coalesce(F.col("dealt") == F.col("leaf"), F.lit(True))
+    others = F.filter(others, lambda o: anew | (o < first) | (o >= first + parts))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select(
+        "leaf", "rep", "copies", "embedding", "leaves", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
     out_schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64()), ("anchor", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:

@@ -147,6 +147,20 @@ def test_vectors(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0 and forest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 64))
+    x[:3000] = x[0] + rng.normal(size=(3000, 64)) * np.linalg.norm(x[0]) * np.sqrt(0.031 / 64)
+    x[3000:3600] = x[3000] + rng.normal(size=(600, 64)) * np.linalg.norm(x[3000]) * np.sqrt(0.05 / 64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(df).collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+
+
 def test_sharding_sql_on_odd_rows(spark):
     con = duckdb.connect()
     documents = table(spark).select("doc_id", "text").toPandas()  # noqa: F841
