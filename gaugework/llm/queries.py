@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import ann, bpe, forest, lm, minhash, mixing, quality, sharding, token_files, toxicity
+from gaugework.llm import ann, bpe, forest, lm, merkle, minhash, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_tokens": token_files.op9_tokens,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle.op11_merkle,
 }
 
-SQL = {"op5_minhash": minhash.OP5_SQL, "op1_sharding": sharding.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op5_minhash": minhash.OP5_SQL, "op1_sharding": sharding.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op11_merkle": merkle.OP11_SQL}
