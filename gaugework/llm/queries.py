@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import ann, bpe, forest, line_dedup, lm, merkle, minhash, mixing, quality, sharding, token_files, toxicity
+from gaugework.llm import alignment, ann, bpe, forest, line_dedup, lm, merkle, minhash, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_tokens": token_files.op9_tokens,
     "op10_bpe": bpe.op10_bpe,
     "op11_merkle": merkle.op11_merkle,
+    "op12_align": alignment.op12_align,
     "op13_lines": line_dedup.op13_lines,
 }
 
