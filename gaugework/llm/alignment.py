@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,46 +14,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.bpe import public_file, read_file
+from gaugework.llm.bpe import public_file, public_pattern, read_file
 from gaugework.llm.common import documents, worker_cache
 from gaugework.session import cut_lineage
 
 PIECE = 64  # merge steps of an independent piece
-PARTS = 200_000  # parts of texts whose tokens a worker remembers
 BATCH_DOCS = 1024  # documents aligned at once
 BATCH_BYTES = 1 << 20  # text after which a batch is closed
+BUCKETS = 64  # parts that pairs are dealt to
+SLICE = 1 << 14  # batches that share a copy of a bucket's totals
 SPREAD = 40_503  # multiplier that deals pairs to buckets
 FLUSH = 1 << 20  # distinct pairs after which a task hands its counts on
-# A blank between two other characters, neither the piece library's own mark for blanks: both begin a token there.
-CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 class Vocabulary:
-    """Length in bytes of each token, and the bytes themselves, by id."""
+    """The tokens' bytes end to end, and where each begins, by id."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+        self.size = len(tokens)
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ``ids``."""
+        lengths = self.lengths[ids]
+        before = np.cumsum(lengths) - lengths
+        return self.bytes[np.repeat(self.starts[ids] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
 
 
 class Tokenizer:
-    """Ids of whole texts by one library; parts between single blanks seen before are looked up."""
+    """Ids of whole texts, each behind a blank, by one library."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
-        self.encode_parts, self.vocabulary, self.known = encode, Vocabulary(tokens), {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a blank and the text."""
-        parts = CUT.split(text)
-        found = list(map(self.known.get, parts))
-        if None in found:
-            new = sorted({p for p, f in zip(parts, found, strict=True) if f is None})
-            made = {p: np.array(ids, dtype="<i4").tobytes() for p, ids in zip(new, self.encode_parts(new), strict=True)}
-            if len(self.known) > PARTS:
-                self.known.clear()
-            self.known.update((p, ids) for p, ids in made.items() if len(p) <= 64)
-            found = [made[p] if f is None else f for p, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+        self.encode_texts, self.vocabulary = encode, Vocabulary(tokens)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; none where they do not give its bytes back."""
+        ids = [np.array(i, dtype=np.int32) for i in self.encode_texts(texts)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(self.vocabulary.lengths[flat])])[np.cumsum([0, *map(len, ids)])].tolist()
+        back = self.vocabulary.text(flat)
+        same = [back[low:high] == b" " + text.encode() for low, high, text in zip(ends, ends[1:], texts, strict=False)]
+        return [i if s else i[:0] for i, s in zip(ids, same, strict=True)]
 
 
 def byte_level_tokens(vocabulary: dict[str, int]) -> list[bytes]:
@@ -67,15 +70,46 @@ def byte_level_tokens(vocabulary: dict[str, int]) -> list[bytes]:
     return tokens
 
 
+def merged_ids(model: dict) -> list[int]:
+    """The id of each merge's token, in the order of the merges."""
+    return [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+
+
 def byte_tokenizer(data: bytes) -> Tokenizer:
-    """The tokenizers library; strings of special tokens are ordinary text."""
+    """The byte-level BPE of a tokenizers file; strings of special tokens are ordinary text.
+
+    Where ids are the ranks of the merges, the tiktoken library encodes with the same vocabulary and pattern five times
+    as fast (both agree on every code point); a text it cannot take, and other files, go to the tokenizers library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer as Library
 
-    library = Library.from_str(data.decode())
+    library, described = Library.from_str(data.decode()), json.loads(data)
     library.encode_special_tokens = True
     tokens = byte_level_tokens(library.get_vocab(with_added_tokens=True))
-    return Tokenizer(lambda parts: [e.ids for e in library.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)], tokens)
+
+    def slow(text: str) -> list[int]:
+        return library.encode(" " + text, add_special_tokens=False).ids
+
+    splits = described.get("pre_tokenizer") or {}
+    usual = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+    merged = merged_ids(described["model"])
+    if not usual or described.get("normalizer") or described["model"].get("dropout") or merged != sorted(set(merged)):
+        return Tokenizer(lambda texts: [slow(t) for t in texts], tokens)
+    import tiktoken
+
+    ranks = {tokens[i]: i for i in [*merged, *(i for i, t in enumerate(tokens) if len(t) == 1)]}
+    quick = tiktoken.Encoding("file", pat_str=public_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        try:
+            return quick.encode_ordinary(" " + text)
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # noqa: BLE001  a panic of the library is no Exception
+            return slow(text)
+
+    return Tokenizer(lambda texts: [encode(t) for t in texts], tokens)
 
 
 def piece_tokenizer(data: bytes) -> Tokenizer:
@@ -87,7 +121,7 @@ def piece_tokenizer(data: bytes) -> Tokenizer:
     for number in range(library.get_piece_size()):
         piece = library.id_to_piece(number)
         tokens.append(bytes([int(piece[3:5], 16)]) if library.is_byte(number) else piece.replace("▁", " ").encode())
-    return Tokenizer(lambda parts: library.encode(parts, num_threads=1), tokens)
+    return Tokenizer(lambda texts: library.encode(texts, num_threads=1), tokens)
 
 
 def kept_tokenizer(kind: str, data: bytes) -> Tokenizer:
@@ -161,7 +195,7 @@ class Aligned:
         self.link_doc = self.doc_a[self.link_a]
         self.n_links = np.bincount(self.link_doc, minlength=len(docs))
         self.n_groups = np.bincount(self.doc_a[self.last_a], minlength=len(docs))
-        self.width = max(len(one.tokens), len(two.tokens))
+        self.width = max(one.size, two.size)
 
     def group_texts(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` per document."""
@@ -253,18 +287,20 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, buckets: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = kept_tokenizer("byte", shared.value[0]), kept_tokenizer("piece", shared.value[1])
-        span = len(one.vocabulary.tokens)
+        span = one.vocabulary.size
         part, number, counts = TaskContext.get().partitionId(), 0, PairCounts()
         held, size = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            made = Aligned([a for _, a, _ in held], [b for _, _, b in held], one.vocabulary, two.vocabulary)
+            texts = [t for _, t in held]
+            pairs = [(a, b) if t and len(a) and len(b) else (a[:0], b[:0]) for t, a, b in zip(texts, one.encode(texts), two.encode(texts), strict=True)]
+            made = Aligned([a for a, _ in pairs], [b for _, b in pairs], one.vocabulary, two.vocabulary)
             batch = part << 32 | number
             some = (made.n_a > 0).tolist()
             digests = [hashlib.sha256(t.encode()).hexdigest() if s else "" for t, s in zip(made.group_texts(), some, strict=True)]
             rows = len(held)
             figures = {"n_a": made.n_a, "n_b": made.n_b, "n_groups": made.n_groups, "n_links": made.n_links}
-            own = {"kind": [DOCS] * rows, "batch": [batch] * rows, "idx": list(range(rows)), "doc_id": [i for i, _, _ in held]}
+            own = {"kind": [DOCS] * rows, "batch": [batch] * rows, "idx": list(range(rows)), "doc_id": [i for i, _ in held]}
             yield record(own | figures | {"groups_sha256": digests})
             pair, doc, links = doc_pairs(made, span)
             if not len(pair):
@@ -280,14 +316,8 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, buckets: int) -> Dat
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids_a = ids_b = np.zeros(0, dtype="<i4")
-                if text:
-                    whole = b" " + text.encode()
-                    ids_a, ids_b = (np.frombuffer(t.encode(text), dtype="<i4") for t in (one, two))
-                    if any(b"".join(map(t.vocabulary.tokens.__getitem__, ids.tolist())) != whole for t, ids in ((one, ids_a), (two, ids_b))):
-                        ids_a = ids_b = np.zeros(0, dtype="<i4")
-                    size += len(whole)
-                held.append((doc_id, ids_a, ids_b))
+                held.append((doc_id, text or ""))
+                size += len(held[-1][1])
                 if len(held) >= BATCH_DOCS or size >= BATCH_BYTES:
                     yield from close()
                     number, held, size = number + 1, [], 0
@@ -313,50 +343,42 @@ def pair_totals(rows: DataFrame) -> DataFrame:
     return partial.groupBy("pair").agg(F.sum("n").alias("count"))
 
 
-def alignment(docs: DataFrame, byte_file: str, piece_file: str, buckets: int | None = None) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
+def runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The slices of a batch over which its first ``keys`` columns do not change."""
+    columns = np.stack([batch.column(c).to_numpy() for c in range(keys)])
+    cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if low < high:
+            yield tuple(columns[:, low].tolist()), batch.slice(low, high - low)
 
-    Texts that are null, empty, or that a tokenizer does not give back byte for byte have no tokens: zeros and an empty
-    digest. Repeated rows and null ids are rows of their own; an empty table stays empty; other columns take no part.
 
-    A pair's count is the corpus's, so a document's distinct pairs meet the totals: per batch of documents and
-    bucket of pairs they travel as one packed row, behind the bucket's totals, to the task of the bucket. The
-    number of buckets does not change results. No table of pairs is broadcast; the best counts have one row per B id.
-    """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = len(byte_tokenizer(read_file(byte_file)).vocabulary.tokens)
-    rows = cut_lineage(align(docs, byte_file, piece_file, buckets), "aligned")
-    totals = cut_lineage(pair_totals(rows), "pair-totals").withColumn("b", F.expr(f"pair div {span}"))
-    best = totals.groupBy("b").agg(F.max("count").alias("most"))
-    told = totals.join(best, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+def weighed(rows: DataFrame, totals: DataFrame, slices: int, buckets: int) -> DataFrame:
+    """Per batch and bucket, what its pairs add to its documents' ``n_best`` and ``count_sum``, packed."""
     hashed = F.shiftright((F.col("pair") * SPREAD).bitwiseAND(0xFFFFFFFF), 7) % buckets
-    heads = told.select(hashed.cast("int").alias("bucket"), F.lit(0).alias("kind"), F.col("pair").alias("total_pair"), "count", "best")
-    packed = rows.where(F.col("kind") == PAIRS).select("bucket", "kind", "batch", "pairs", "sizes", "docs", "links")
-    both = heads.unionByName(packed, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    shape = "batch long, idx array<int>, n_best array<long>, count_sum array<long>"
+    copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    heads = totals.select(hashed.cast("int").alias("bucket"), copies.alias("slice"), F.lit(0).alias("kind"), F.col("pair").alias("total_pair"), "count", "best")
+    slice_ = F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int").alias("slice")
+    packed = rows.where(F.col("kind") == PAIRS).select("bucket", slice_, "kind", "batch", "pairs", "sizes", "docs", "links")
+    both = heads.unionByName(packed, allowMissingColumns=True).repartition("bucket", "slice").sortWithinPartitions("bucket", "slice", "kind")
+    named = ["bucket", "slice", "kind", "total_pair", "count", "best", "batch", "pairs", "sizes", "docs", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, table = None, [], None
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(batch)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                if int(keys[low]) != now:
-                    now, parts, table = int(keys[low]), [], None
-                part = batch.slice(low, high - low)
-                heads_ = int((part.column(1).to_numpy() == 0).sum())
+            for key, part in runs(batch, 2):
+                if key != now:
+                    now, parts, table = key, [], None
+                heads_ = int((part.column(2).to_numpy() == 0).sum())
                 if heads_:
-                    parts.append([part.column(c).slice(0, heads_).to_numpy(zero_copy_only=False) for c in (2, 3, 4)])
+                    parts.append([part.column(c).slice(0, heads_).to_numpy(zero_copy_only=False) for c in (3, 4, 5)])
                 if heads_ == len(part):
                     continue
                 if table is None:
                     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                     order = np.argsort(columns[0])
                     table, parts = [c[order] for c in columns], []
-                out = {"batch": [], "idx": [], "n_best": [], "count_sum": []}
-                rest = part.slice(heads_)
-                for number, *data in zip(*[rest.column(c).to_pylist() for c in range(5, 10)], strict=True):
+                rest, out = part.slice(heads_), []
+                for number, *data in zip(*[rest.column(c).to_pylist() for c in range(6, 11)], strict=True):
                     pairs, sizes, of, links = (np.frombuffer(x, dtype=t).astype(np.int64) for x, t in zip(data, ("<u8", "<u2", "<u2", "<u4"), strict=True))
                     at = np.searchsorted(table[0], pairs)
                     count, good = (np.repeat(table[c][at], sizes) for c in (1, 2))
@@ -364,26 +386,59 @@ def alignment(docs: DataFrame, byte_file: str, piece_file: str, buckets: int | N
                     sums = np.zeros((2, len(seen)), dtype=np.int64)
                     np.add.at(sums[0], inside, links * good)
                     np.add.at(sums[1], inside, links * count)
-                    for name, value in zip(out, (number, seen, sums[0], sums[1]), strict=True):
-                        out[name].append(value)
-                kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-
-    summed = both.select("bucket", "kind", "total_pair", "count", "best", "batch", "pairs", "sizes", "docs", "links").mapInArrow(run, shape)
-    each = summed.select("batch", F.inline(F.arrays_zip("idx", "n_best", "count_sum")))
-    each = each.groupBy("batch", "idx").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    own = rows.where(F.col("kind") == DOCS).select("batch", "idx", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    zero = F.lit(0).cast("long")
-    return own.join(each, ["batch", "idx"], "left").select(
-        "doc_id",
-        "n_a",
-        "n_b",
-        "n_groups",
-        "n_links",
-        F.coalesce("n_best", zero).alias("n_best"),
-        F.coalesce("count_sum", zero).alias("count_sum"),
-        "groups_sha256",
-    )
+                    out.append((number, seen.astype("<u2").tobytes(), sums[0].astype("<i8").tobytes(), sums[1].astype("<i8").tobytes()))
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["batch", "docs", "best", "sums"])
+
+    return both.select(*named).mapInArrow(run, "batch long, docs binary, best binary, sums binary")
+
+
+FIGURES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def summed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every document's own figures with the sums over its batch's parts, which come first."""
+    own = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    docs = rows.where(F.col("kind") == DOCS).select("batch", F.lit(1).alias("step"), "idx", *own)
+    both = parts.withColumn("step", F.lit(0)).unionByName(docs, allowMissingColumns=True)
+    both = both.repartition("batch").sortWithinPartitions("batch", "step", "idx").select("batch", "step", "docs", "best", "sums", "idx", *own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, sums = None, None, None
+        for batch in batches:
+            for (number, step), part in runs(batch, 2):
+                if number != now:
+                    now, best, sums = number, *np.zeros((2, BATCH_DOCS), dtype=np.int64)
+                if step == 0:
+                    for docs_, *added in zip(*[part.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
+                        at = np.frombuffer(docs_, dtype="<u2")
+                        best[at] += np.frombuffer(added[0], dtype="<i8")
+                        sums[at] += np.frombuffer(added[1], dtype="<i8")
+                    continue
+                at = part.column(5).to_numpy()
+                columns = [*[part.column(c) for c in range(6, 11)], pa.array(best[at]), pa.array(sums[at]), part.column(11)]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FIGURES.split(", ")])
+
+    return both.mapInArrow(run, FIGURES)
+
+
+def alignment(docs: DataFrame, byte_file: str, piece_file: str, buckets: int = BUCKETS, slice_batches: int = SLICE) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
+
+    Texts that are null, empty, or that a tokenizer does not give back byte for byte have no tokens: zeros and an empty
+    digest. Repeated rows and null ids are rows of their own; an empty table stays empty; other columns take no part.
+
+    A pair's count is the corpus's, so a document's distinct pairs meet the totals: per batch of documents and
+    bucket of pairs they travel as one packed row, behind a copy of the bucket's totals, to a task; a bucket has one such task
+    for every ``slice_batches`` batches. Neither number changes results. No table of pairs is broadcast.
+    """
+    span = byte_tokenizer(read_file(byte_file)).vocabulary.size
+    rows = cut_lineage(align(docs, byte_file, piece_file, buckets), "aligned")
+    totals = cut_lineage(pair_totals(rows), "pair-totals").withColumn("b", F.expr(f"pair div {span}"))
+    best = totals.groupBy("b").agg(F.max("count").alias("most"))
+    told = totals.join(best, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    batches = rows.where((F.col("kind") == DOCS) & (F.col("idx") == 0)).count()
+    return summed(rows, weighed(rows, told, 1 + batches // slice_batches, buckets))
 
 
 def op12_align(spark, sf_dir):
