@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.safe import ratio
 from gaugework.operators.aggregates import monthly_mean
 from gaugework.operators.joins import one_row
-from gaugework.session import settle
+from gaugework.session import cut_lineage, settle
 
 
 def feature_matrix(
@@ -57,7 +56,95 @@ def standardize(matrix: DataFrame) -> DataFrame:
     return scored.withColumn("scaled", z).drop("stats")
 
 
-LAYOUT = 16  # partitions of the points of a k-means fit
+UNIT = 1e9  # coordinates are whole numbers of this part, so that their sums are exact in any order
+COST = 1e6  # and so are costs
+HELD = 100_000  # points whose sums fit in 64 bits, at coordinates below 90,000
+
+
+def _squared(at: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points, and their squared distances to every centre (points × restarts × centres)."""
+    fixed = np.stack(at.to_list()) if len(at) else np.zeros((0, centres.shape[2]), dtype=np.int64)
+    flat, x = centres.reshape(-1, centres.shape[2]), fixed / UNIT
+    out = np.zeros((len(x), len(flat)))
+    # One dimension after the other, so that a point's distance does not depend on its neighbours in the batch.
+    for d in range(flat.shape[1]):
+        out += (x[:, d, None] - flat[None, :, d]) ** 2
+    return fixed, out.reshape(len(x), *centres.shape[:2])
+
+
+def _draws(key: Column, k: int, restarts: int, seed: int) -> Column:
+    """A uniform number per restart and centre, by a hash of the key that other engines can repeat."""
+
+    def uniform(i: Column) -> Column:
+        which = [F.floor(i / k).cast("string"), (i % k).cast("string")]
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"kmeans{seed}"), *which, key)), 1, 13)
+        return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(restarts * k - 1)), uniform)
+
+
+def _seeds(points: DataFrame, k: int, wanted: int, restarts: int) -> np.ndarray:
+    """``wanted`` first centres of all restarts, one pass per centre: far points are likelier, by a race of the points' draws (``k`` a restart)."""
+    chosen = np.zeros((restarts, 0, 0))
+    for j in range(wanted):
+        so_far = chosen
+
+        def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                drawn = -np.log(np.stack(batch["draws"].to_list())[:, j::k])
+                if so_far.shape[1]:
+                    _, squared = _squared(batch["at"], so_far)
+                    near = squared.min(axis=2)
+                    drawn = np.where(near > 0, drawn / np.where(near > 0, near, 1), np.inf)
+                order = np.argsort(batch["key"].to_numpy(), kind="stable")
+                first = order[np.argmin(drawn[order], axis=0)]
+                kept = {"restart": np.arange(restarts), "race": drawn[first, np.arange(restarts)]}
+                yield pd.DataFrame(kept | {c: batch[c].iloc[first].to_list() for c in ("key", "at")})
+
+        run = points.mapInPandas(race, "restart int, race double, key string, at array<long>")
+        won = run.groupBy("restart").agg(F.min_by("at", F.struct("race", "key")).alias("at")).orderBy("restart").collect()
+        centres = np.array([r["at"] for r in won]) / UNIT
+        chosen = np.concatenate([chosen.reshape(restarts, j, centres.shape[1]), centres[:, None, :]], axis=1)
+    return chosen
+
+
+def _lap(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means of the points nearest to each centre, for all restarts in one pass, and each restart's cost."""
+    runs, k, width = centres.shape
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, counts, cost, held = np.zeros((runs, k, width), dtype=np.int64), np.zeros((runs, k), dtype=np.int64), np.zeros(runs, dtype=np.int64), 0
+
+        def rows() -> pd.DataFrame:
+            which = [(r, c) for r in range(runs) for c in range(k)]
+            values = [np.concatenate([[counts[r, c], cost[r] if c == 0 else 0], sums[r, c]]) for r, c in which]
+            return pd.DataFrame({"restart": [r for r, _ in which], "centre": [c for _, c in which], "sums": values})
+
+        for batch in batches:
+            fixed, squared = _squared(batch["at"], centres)
+            label = squared.argmin(axis=2)
+            cost += np.rint(squared.min(axis=2) * COST).astype(np.int64).sum(axis=0)
+            for r in range(runs):
+                np.add.at(sums[r], label[:, r], fixed)
+                counts[r] += np.bincount(label[:, r], minlength=k)
+            held += len(batch)
+            if held > HELD:
+                yield rows()
+                sums[:], counts[:], cost[:], held = 0, 0, 0, 0
+        yield rows()
+
+    partial = points.select("at").mapInPandas(add, "restart int, centre int, sums array<long>")
+    each = partial.select("restart", "centre", F.posexplode("sums").alias("place", "value"))
+    # restarts × centres × (coordinates + 2) numbers come back, whatever the number of points.
+    totals = each.groupBy("restart", "centre", "place").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
+    table = np.zeros((runs, k, width + 2), dtype=object)
+    for r in totals:
+        table[r["restart"], r["centre"], r["place"]] = int(r["value"])
+    counts = table[:, :, :1]
+    means = np.where(counts > 0, table[:, :, 2:] / np.where(counts > 0, counts, 1) / UNIT, centres)
+    return means.astype(float), table[:, 0, 1].astype(float)
 
 
 def kmeans(
@@ -67,35 +154,46 @@ def kmeans(
     seed: int = 42,
     restarts: int = 10,
     max_iter: int = 300,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """Adds ``cluster`` to a feature matrix: k-means on the standardised features.
 
-    The best of ``restarts`` runs by training cost is kept, ``k`` is reduced to the
-    number of rows, and clusters are numbered by their smallest member. Fewer than
-    two rows cannot be clustered and give an empty result.
+    All ``restarts`` advance together: a seeding or Lloyd step is one aggregate over the points, and
+    what returns has the size of the centres. Draws are hashes of the keys and sums are exact, so the result
+    does not depend on partitions. The restart with the least cost is kept (the first of equal ones), ``k`` is reduced to the
+    number of rows, and clusters are numbered by their smallest member; equal rows may leave fewer than ``k``.
+    Fewer than two rows cannot be clustered and give an empty result.
     """
-    # The fit depends on where a row lies, so the points get a layout of their own: by key, in a
-    # fixed number of partitions, and without the last digits that the order of a sum decides.
-    steady = F.transform("scaled", lambda x: F.round(x, 9))
-    points = standardize(matrix).withColumn("vector", array_to_vector(steady))
-    points = points.repartition(LAYOUT, *entity, "measure").sortWithinPartitions(*entity, "measure").persist()
-    rows = points.count()
+    names = [*entity, "measure"]
+    fixed = F.transform("scaled", lambda x: F.rint(x * UNIT).cast("long"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in names])
+    keyed = standardize(matrix).withColumns({"_at": fixed, "_key": key, "_draws": _draws(key, k, restarts, seed)})
+    made = cut_lineage(keyed.drop("scaled"), "kmeans")
+    rows = made.count()
     if rows < 2:
-        return points.where(F.lit(False)).withColumn("cluster", F.lit(0)).drop("scaled", "vector")
-
-    def fit(run: int) -> KMeansModel:
-        trainer = KMeans(featuresCol="vector", predictionCol="label", k=min(k, rows), maxIter=max_iter, tol=1e-4)
-        return trainer.setSeed(seed + run).fit(points)
-
-    # The restarts are independent Spark jobs, submitted side by side.
-    with ThreadPool(min(restarts, 8)) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(restarts))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = best.transform(points)
-    smallest = labelled.groupBy("label").agg(F.min(F.struct(*entity, "measure")).alias("first"))
+        return made.where(F.lit(False)).withColumn("cluster", F.lit(0)).drop("_at", "_key", "_draws")
+    points = made.select(F.col("_key").alias("key"), F.col("_at").alias("at"), F.col("_draws").alias("draws"))
+    centres = _seeds(points, k, min(k, rows), restarts)
+    moving = np.arange(restarts)
+    for _ in range(max_iter):
+        means, _cost = _lap(points, centres[moving])
+        shift = np.sqrt(((means - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centres[moving] = means
+        moving = moving[shift > tol]
+        if not len(moving):
+            break
+    _, cost = _lap(points, centres)
+    best = centres[[int(np.argmin(cost))]]
+
+    @F.pandas_udf("int")
+    def nearest(at: pd.Series) -> pd.Series:
+        return pd.Series(_squared(at, best)[1][:, 0].argmin(axis=1))
+
+    labelled = made.withColumn("label", nearest("_at"))
+    smallest = labelled.groupBy("label").agg(F.min(F.struct(*names)).alias("first"))
     # At most k rows are numbered here.
-    names = smallest.select("label", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))
-    return labelled.join(names, "label").drop("label", "scaled", "vector")
+    numbers = smallest.select("label", (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster"))
+    return labelled.join(numbers, "label").drop("label", "_at", "_key", "_draws")
 
 
 def cluster_trends(clustered: DataFrame) -> DataFrame:

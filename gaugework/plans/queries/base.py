@@ -43,7 +43,9 @@ def query(name: str, sql: str | None = None, obs: bool = False, long: bool = Fal
             body = sql.strip()
             if parts:
                 joined = ",".join(parts)
-                body = f"WITH {joined}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {joined}\n{body}"
+                head = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+                rest = f", {body[len(head):]}" if body.upper().startswith(head) else f"\n{body}"
+                body = f"{head}{joined}{rest}"
             SQL[name] = body
         return build
 

@@ -225,25 +225,111 @@ def standardize(spark, sf_dir):
     return rounded(_cells(clustering.standardize(_matrix(spark, sf_dir)), "scaled"), 5, "value")
 
 
-@query("kmeans_states")
+def _kmeans_sql(entity: str, k: int, result: str, measures: str = "TRUE", restarts: int = 10) -> str:
+    """Seeding by the same hashes, Lloyd steps of all restarts, the best one, numbered by its smallest members."""
+    uniform = "(('0x' || substr(md5(concat_ws('|', 'kmeans42', {r}, {j}, key)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496"
+    return f"""
+    WITH RECURSIVE m AS (
+      SELECT {entity}, measure, last_day(ts) AS month_end, avg(value) AS value FROM long WHERE {measures} GROUP BY ALL
+    ), cells AS (
+      SELECT e.{entity}, e.measure, t.month_end, coalesce(m.value, 0) AS value
+      FROM (SELECT DISTINCT {entity}, measure FROM m) e CROSS JOIN (SELECT DISTINCT month_end FROM m) t
+      LEFT JOIN m ON m.{entity} = e.{entity} AND m.measure = e.measure AND m.month_end = t.month_end
+    ), s AS (SELECT month_end, avg(value) AS mean, stddev_pop(value) AS std FROM cells GROUP BY ALL),
+    points AS (
+      SELECT {entity}, measure, {entity} || '|' || measure AS key,
+             list(round(CASE WHEN std > 0 THEN (value - mean) / std ELSE 0 END, 9) ORDER BY month_end) AS x
+      FROM cells JOIN s USING (month_end) GROUP BY ALL
+    ), raced AS (
+      SELECT r::VARCHAR AS r, 0 AS j, key, x, CAST('Infinity' AS DOUBLE) AS near, NULL::DOUBLE[] AS centre
+      FROM points, range({restarts}) t(r)
+      UNION ALL
+      SELECT a.r, a.j + 1, a.key, a.x, least(a.near, pow(list_distance(a.x, b.x), 2)), b.x
+      FROM raced a JOIN (
+        SELECT r, arg_min(x, (CASE WHEN j = 0 THEN -ln({uniform.format(r="r", j="j")}) WHEN near > 0 THEN -ln({uniform.format(r="r", j="j")}) / near
+                              ELSE CAST('Infinity' AS DOUBLE) END, key)) AS x
+        FROM raced GROUP BY r) b USING (r)
+      WHERE a.j < least({k}, (SELECT count(*) FROM points))
+    ), lloyd AS (
+      SELECT DISTINCT 0 AS lap, r, j - 1 AS c, centre, TRUE AS moving FROM raced WHERE j > 0
+      UNION ALL
+      SELECT lap + 1, r, c, new, max(list_distance(centre, new)) OVER (PARTITION BY r) > 1e-4 FROM (
+        SELECT l.lap, l.r, l.c, l.centre, coalesce(n.new, l.centre) AS new FROM lloyd l LEFT JOIN (
+          SELECT r, c, list(v ORDER BY i) AS new FROM (
+            SELECT r, c, i, avg(x[i]) AS v FROM (
+              SELECT r, key, x, arg_min(c, (list_distance(x, centre), c)) AS c FROM lloyd, points GROUP BY r, key, x
+            ), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY r, c, i
+          ) GROUP BY r, c
+        ) n USING (r, c) WHERE l.moving AND l.lap < 300)
+    ), ended AS (SELECT r, c, arg_max(centre, lap) AS centre FROM lloyd GROUP BY r, c
+    ), cost AS (
+      SELECT r, sum(near) AS cost FROM (SELECT r, key, min(pow(list_distance(x, centre), 2)) AS near FROM ended, points GROUP BY r, key) GROUP BY r
+    ), labelled AS (
+      SELECT {entity}, measure, arg_min(c, (list_distance(x, centre), c)) AS c
+      FROM ended, points WHERE r = (SELECT r FROM cost ORDER BY round(cost, 4), r::INT LIMIT 1) GROUP BY {entity}, measure
+    ), numbers AS (
+      SELECT c, row_number() OVER (ORDER BY min(({entity}, measure))) - 1 AS cluster FROM labelled GROUP BY c
+    ), clustered AS (SELECT {entity}, measure, cluster FROM labelled JOIN numbers USING (c))
+    {result}
+    """
+
+
+def _assigned(entity: str) -> str:
+    return f"SELECT {entity}, measure, CAST(cluster AS INT) AS cluster FROM clustered"
+
+
+@query("kmeans_states", _kmeans_sql("state", 5, _assigned("state")), long=True)
 def kmeans_states(spark, sf_dir):
     clustered = clustering.kmeans(_matrix(spark, sf_dir), ["state"])
     return clustering.cluster_assignments(clustered, ["state"])
 
 
-@query("kmeans_locations")
+@query("kmeans_locations", _kmeans_sql("location", 3, _assigned("location"), "measure = 'price'"), long=True)
 def kmeans_locations(spark, sf_dir):
     """Locations by the course of one measure."""
     matrix = clustering.feature_matrix(observations(spark, sf_dir), ["location"], "ts", ["price"])
     return clustering.cluster_assignments(clustering.kmeans(matrix, ["location"], k=3), ["location"])
 
 
-@query("cluster_trends")
+@query(
+    "cluster_trends",
+    _kmeans_sql(
+        "state",
+        5,
+        """SELECT CAST(cluster AS INT) AS cluster, strftime(month_end, '%Y-%m-%d') AS month_end, round(avg(value) + 1.3717e-6, 4) AS value
+           FROM clustered JOIN cells USING (state, measure) GROUP BY ALL""",
+    ),
+    long=True,
+)
 def cluster_trends(spark, sf_dir):
-    return clustering.cluster_trends(clustering.kmeans(_matrix(spark, sf_dir), ["state"]))
-
-
-@query("ward_linkage")
+    trends = clustering.cluster_trends(clustering.kmeans(_matrix(spark, sf_dir), ["state"]))
+    return rounded(with_days(trends, "month_end"), 4, "value")
+
+
+# Greedy merging: every step takes the closest pair of all clusters.
+GREEDY = """
+    WITH RECURSIVE profile AS (
+      SELECT location, [avg(quantity), avg(price), avg(discount), avg(tax)] AS centre FROM obs GROUP BY location
+    ), state AS (
+      SELECT CAST(-1 AS BIGINT) AS step, row_number() OVER (ORDER BY location) - 1 AS node, CAST(1 AS BIGINT) AS size, centre,
+             CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r, CAST(NULL AS DOUBLE) AS height, count(*) OVER () AS n
+      FROM profile
+      UNION ALL
+      SELECT s.step + 1, CASE WHEN s.node = b.l THEN s.n + s.step + 1 ELSE s.node END,
+             CASE WHEN s.node = b.l THEN b.size ELSE s.size END, CASE WHEN s.node = b.l THEN b.centre ELSE s.centre END,
+             CASE WHEN s.node = b.l THEN b.l END, CASE WHEN s.node = b.l THEN b.r END, CASE WHEN s.node = b.l THEN b.height END, s.n
+      FROM state s, (
+        SELECT x.node AS l, y.node AS r, x.size + y.size AS size,
+               [(x.centre[i] * x.size + y.centre[i] * y.size) / (x.size + y.size) FOR i IN range(1, 5)] AS centre,
+               sqrt(2.0 * x.size * y.size / (x.size + y.size)) * list_distance(x.centre, y.centre) AS height
+        FROM state x JOIN state y ON x.node < y.node ORDER BY height, l, r LIMIT 1
+      ) b WHERE s.node <> b.r
+    )
+    SELECT step, l AS "left", r AS "right", round(height + 1.3717e-5, 3) AS height, size FROM state WHERE l IS NOT NULL
+"""
+
+
+@query("ward_linkage", GREEDY, obs=True)
 def ward(spark, sf_dir):
     profile = agg.profile_means(observations(spark, sf_dir), ["location"], MEASURES)
-    return ward_linkage(profile, "location", MEASURES)
+    return rounded(ward_linkage(profile, "location", MEASURES), 3, "height")

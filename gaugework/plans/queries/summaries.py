@@ -403,11 +403,19 @@ def sample_rows(spark, sf_dir):
     return rounded(ranking.sample_n(events, 2000, key=["event_id"], portable=True), 4, "value")
 
 
-@query("sample_rows_without_key")
+@query(
+    "sample_rows_without_key",
+    """
+    SELECT state, year(ts) AS year, month(ts) AS month, price FROM obs
+    ORDER BY md5(concat_ws(':', '42', state, year(ts), month(ts), price)), state, year(ts), month(ts), price LIMIT 5000
+    """,
+    obs=True,
+)
 def sample_rows_without_key(spark, sf_dir):
     """5000 (state, value) rows; there is no unique key, so all columns are hashed."""
     obs = observations(spark, sf_dir)
-    return ranking.sample_n(obs.select("state", F.year("ts").alias("year"), F.month("ts").alias("month"), "price"), 5000)
+    chosen = obs.select("state", F.year("ts").alias("year"), F.month("ts").alias("month"), "price")
+    return as_long(ranking.sample_n(chosen, 5000, portable=True), "year", "month")
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates as agg
-from gaugework.operators import clustering, windows
+from gaugework.operators import clustering, ward, windows
 from gaugework.operators.arima import arima_111, arima_forecast, fit_arma_11
 from gaugework.operators.stl import loess, stl, stl_fit
 from gaugework.operators.ward import ward_linkage
@@ -213,6 +213,26 @@ def test_kmeans_finds_the_groups(spark):
     assert clustering.kmeans(matrix.limit(1), ["e"]).count() == 0
 
 
+def test_kmeans_does_not_see_partitions(spark):
+    """The same clusters from 1, 4 and 64 partitions; every row lies nearest to its own cluster's mean."""
+    rng = np.random.default_rng(17)
+    data = [(f"e{i:03d}", "v", list(map(float, rng.normal(size=6) + 2 * (i % 4)))) for i in range(150)]
+    data += [("same1", "v", [1.0] * 6), ("same2", "v", [1.0] * 6), ("same2", "w", [1.0] * 6)]
+    months_ = [dt.date(2020, m, 28) for m in range(1, 7)]
+    df = spark.createDataFrame([(*r, months_) for r in data], "e string, measure string, features array<double>, months array<date>")
+    made = [rows(clustering.kmeans(df.repartition(n), ["e"], k=6), "e", "measure", "cluster") for n in (1, 4, 64)]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 153 and {r[2] for r in made[0]} == set(range(6))
+    x = np.array([r[2] for r in sorted(data)])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    label = np.array([r[2] for r in made[0]])
+    means = np.array([z[label == c].mean(axis=0) for c in range(6)])
+    assert (((z[:, None] - means) ** 2).sum(axis=2).argmin(axis=1) == label).all()
+    cost = ((z - means[label]) ** 2).sum()
+    one = clustering.kmeans(df, ["e"], k=6, restarts=1)
+    single = np.array([r[2] for r in rows(one, "e", "measure", "cluster")])
+    assert cost <= sum(((z[single == c] - z[single == c].mean(axis=0)) ** 2).sum() for c in range(6)) + 1e-6
+
+
 def test_feature_matrix_fills_with_zero(spark):
     data = [("a", months(3)[0], 1.0), ("a", months(3)[2], 3.0), ("b", months(3)[1], 5.0)]
     df = spark.createDataFrame(data, "e string, t timestamp_ntz, v double")
@@ -246,7 +266,7 @@ def naive_ward(x):
     return heights, sets
 
 
-@pytest.mark.parametrize("block", [500, 5])
+@pytest.mark.parametrize("block", [500, 5, 2])
 def test_ward_equals_greedy_merging(spark, block):
     x = np.random.default_rng(11).normal(size=(17, 3))
     df = spark.createDataFrame([(f"n{i:02d}", *map(float, p)) for i, p in enumerate(x)], "k string, a double, b double, c double")
@@ -268,5 +288,35 @@ def test_ward_of_ties_and_of_one(spark):
     assert ward_linkage(df.limit(1), "k", ["a"]).count() == 0
 
 
+def test_ward_on_a_grid_of_ties(spark):
+    """Equal distances everywhere, several blocks: heights as greedy merging, sizes add up, the last merge holds all."""
+    x = [(float(i % 6), float(i // 6)) for i in range(36)] * 2
+    df = spark.createDataFrame([(f"n{i:02d}", *p) for i, p in enumerate(x)], "k string, a double, b double")
+    got = ward_linkage(df, "k", ["a", "b"], 7).orderBy("step").collect()
+    heights = [r["height"] for r in got]
+    assert len(got) == 71 and heights == sorted(heights) and heights[:36] == [0.0] * 36 and got[-1]["size"] == 72
+    total = 2 * sum(np.var([p[d] for p in x]) * 72 for d in range(2))
+    assert sum(h * h for h in heights) == pytest.approx(total)
+    size = {i: 1 for i in range(72)}
+    for r in got:
+        size[72 + r["step"]] = size.pop(r["left"]) + size.pop(r["right"])
+        assert r["size"] == size[72 + r["step"]]
+
+
+def test_ward_compares_few_pairs(spark):
+    """20,000 entities: inside blocks and with the blocks that are asked, a small part of all pairs."""
+    n = 20_000
+    made = spark.range(n).selectExpr("id", "1L AS size", "array(rand(3) * 100, rand(4) * 30) AS centre", "0.0D AS level")
+    state = ward._placed(made.persist(), n, 200).persist()
+    boxes, count = ward._boxes(state, 2)
+    assert count == n and len(boxes.leaf) > 64
+    left = ward._inside(state, boxes)
+    sizes = state.groupBy("leaf").agg(F.count("*").alias("members")).persist()
+    inside = sizes.agg(F.sum(F.col("members") * F.col("members"))).first()[0]
+    asked = left.where("gone IS NULL").select(F.explode("ask").alias("leaf")).join(sizes, "leaf").agg(F.sum("members")).first()[0]
+    assert inside + asked < n * n / 20
+    assert left.where("gone IS NOT NULL").count() > n / 3
+
+
 def test_models_on_observations(obs):
     assert stl(obs, ["state"], "ts", MEASURES, gaps="fill").where("status = 'ok'").count() > 0
