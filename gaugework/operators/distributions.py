@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -286,63 +287,58 @@ def mean_ci_by(
     cells = rows.groupBy(*keys, "value").agg(F.count("*").alias("copies"))
     weighted = F.sum(F.col("value") * F.col("copies")) / F.sum("copies")
     means = cells.groupBy(*keys).agg(F.sum("copies").alias("n"), weighted.alias("mean"))
-    resampled = _bootstrap_means(cells, keys, replicates, seed)
-    # At most ``replicates`` values per key are left here.
-    ends = resampled.groupBy(*keys).agg(F.percentile("mean_b", [0.025, 0.975]).alias("q"))
+    ends = _bootstrap_ends(cells, list(keys), replicates, seed)
     several = F.col("n") > 1
     return means.join(ends, list(keys), "left").select(
-        *keys, "n", "mean", F.when(several, F.col("q")[0]).alias("low"), F.when(several, F.col("q")[1]).alias("high")
+        *keys, "n", "mean", F.when(several, F.col("low")).alias("low"), F.when(several, F.col("high")).alias("high")
     )
 
 
-def _bootstrap_means(cells: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Poisson bootstrap: each distinct value gets a random weight per replicate.
+SALTS = 16  # parts that a key's distinct values are dealt to: one key may hold a third of all
 
-    ``c`` copies of a value draw one Poisson(c) weight, and every Arrow batch is reduced
-    to weight sums per key before anything is shuffled.
+
+def _bootstrap_ends(cells: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """Poisson bootstrap: the 2.5 % and 97.5 % points of the resampled means per key.
+
+    ``c`` copies of a value draw one Poisson(c) weight per replicate, from a stream that a hash of key and value
+    seeds. Values come sorted by key and part of a key, so a task adds up one key at a time
+    and emits one row of weight sums for it; the second reduction adds the parts of a key and ranks its replicates.
     """
-    keys = list(keys)
-    cells = cells.withColumn("draw", F.xxhash64(F.lit(seed), *keys, "value"))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start : start + 2000]
-                weights = poisson_weights(part["draw"].to_numpy(), part["copies"].to_numpy(), replicates)
-                groups = part.groupby(keys, sort=False).indices
-                picked = [list(g) if isinstance(g, tuple) else [g] for g in groups]
-                out = pd.DataFrame(picked, columns=keys)
-                values = part["value"].to_numpy()
-                out["w"] = [weights[i].sum(axis=0) for i in groups.values()]
-                out["wx"] = [(weights[i] * values[i, None]).sum(axis=0) for i in groups.values()]
-                yield out
-
-    key_types = ", ".join(f"`{k}` {dict(cells.dtypes)[k]}" for k in keys)
-    partial = spread(cells, [*keys, "value"]).mapInPandas(weigh, f"{key_types}, w array<double>, wx array<double>")
-    pairs = partial.select(*keys, F.posexplode(F.arrays_zip("w", "wx")).alias("replicate", "pair"))
-    sums = pairs.groupBy(*keys, "replicate").agg(F.sum("pair.w").alias("w"), F.sum("pair.wx").alias("wx"))
-    return sums.select(*keys, ratio(F.col("wx"), F.col("w")).alias("mean_b")).where(F.col("mean_b").isNotNull())
-
-
-def poisson_weights(draws: np.ndarray, copies: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(copies) weights (rows × replicates) that depend only on the draws."""
-    with np.errstate(over="ignore"):
-        # The multipliers and shifts of the SplitMix64 generator.
-        state = draws.astype(np.int64).view(np.uint64)[:, None] + (
-            np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        )
-        state = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        state = (state ^ (state >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        state = state ^ (state >> np.uint64(31))
-    uniform = (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    out = np.empty_like(uniform)
-    for c in np.unique(copies):
-        spread = 12 * math.sqrt(c) + 25
-        counts = np.arange(max(0, int(c - spread)), int(c + spread) + 1)
-        log_p = counts * math.log(c) - c - np.array([math.lgamma(k + 1) for k in counts])
-        at = copies == c
-        out[at] = counts[0] + np.searchsorted(np.cumsum(np.exp(log_p)), uniform[at])
-    return out
+    salt, draw = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"), F.xxhash64(F.lit(seed), *keys, "value")
+    dealt = spread(cells.withColumns({"salt": salt, "draw": draw}), [*keys, "salt"])
+    dealt = dealt.sortWithinPartitions(*keys, "salt", "value")
+    fields = ", ".join(f"`{k}` {dict(cells.dtypes)[k]}" for k in keys)
+
+    def weigh(values: np.ndarray, copies: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, replicates))
+        for x, c, d in zip(values, copies, draws.astype(np.uint64), strict=True):
+            weights = np.random.Generator(np.random.Philox(key=d)).poisson(c, replicates)
+            out += weights, weights * x
+        return out
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, parts in _runs(batches, [*keys, "salt"]):
+            sums = sum(weigh(*(part[c].to_numpy() for c in ("value", "copies", "draw"))) for part in parts)
+            yield pd.DataFrame([[*key, sums[0], sums[1]]], columns=[*keys, "salt", "w", "wx"])
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, parts in _runs(batches, keys):
+            rows = pd.concat(parts)
+            w, wx = np.sum(rows["w"].to_list(), axis=0), np.sum(rows["wx"].to_list(), axis=0)
+            known = w > 0
+            low, high = np.percentile(wx[known] / w[known], [2.5, 97.5]) if known.any() else (None, None)
+            yield pd.DataFrame([[*key, low, high]], columns=[*keys, "low", "high"])
+
+    partial = dealt.mapInPandas(add, f"{fields}, salt int, w array<double>, wx array<double>")
+    # At most SALTS rows per key.
+    gathered = partial.repartition(*keys).sortWithinPartitions(*keys, "salt")
+    return gathered.mapInPandas(rank, f"{fields}, low double, high double")
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pd.DataFrame]]]:
+    """Consecutive rows of equal keys, as (key, parts); a run may go over many batches."""
+    parts = ((key, part) for batch in batches for key, part in batch.groupby(keys, sort=False))
+    return ((key, (part for _, part in run)) for key, run in groupby(parts, key=lambda p: p[0]))
 
 
 # --- maps ------------------------------------------------------------------------------

@@ -182,6 +182,26 @@ def mean_ci_normal(spark, sf_dir):
     return rounded(with_days(dist.mean_ci_by(obs, ["state", "month_end"], "price"), "month_end"), 4, "mean", "low", "high")
 
 
+@query(
+    "mean_ci_bootstrap_bounds",
+    """
+    SELECT location, year(ts) AS year, count(price) AS n, round(avg(price) + 1.3717e-6, 4) AS mean,
+           TRUE AS ordered, CASE WHEN count(price) >= 30 THEN TRUE END AS as_wide_as_normal
+    FROM obs GROUP BY 1, 2 HAVING count(price) > 1
+    """,
+    obs=True,
+)
+def mean_ci_bootstrap_bounds(spark, sf_dir):
+    """The bootstrap's intervals hold their mean, and those of 30 values or more are about as wide as the normal ones."""
+    obs = observations(spark, sf_dir).withColumn("year", F.year("ts"))
+    keys = ["location", "year"]
+    normal = dist.mean_ci_by(obs, keys, "price").select(*keys, (F.col("high") - F.col("low")).alias("width"))
+    joined = dist.mean_ci_by(obs, keys, "price", method="bootstrap").where("n > 1").join(normal, keys)
+    wide = F.when(F.col("n") >= 30, ((F.col("high") - F.col("low")) / F.col("width")).between(0.7, 1.4))
+    ordered = F.col("mean").between(F.col("low"), F.col("high"))
+    return rounded(joined.select(*keys, "n", "mean", ordered.alias("ordered"), wide.alias("as_wide_as_normal")), 4, "mean")
+
+
 @query("mean_ci_bootstrap")
 def mean_ci_bootstrap(spark, sf_dir):
     obs = observations(spark, sf_dir).withColumn("year", F.year("ts"))

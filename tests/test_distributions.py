@@ -101,13 +101,21 @@ def test_bootstrap_agrees_with_normal(spark):
     assert again["a"]["low"] == pytest.approx(boot["a"]["low"])
 
 
-def test_poisson_weights():
-    draws = np.random.default_rng(0).integers(-(2**62), 2**62, 300)
-    copies = np.array([1, 5, 900] * 100)
-    w = dist.poisson_weights(draws, copies, 400)
-    for c in (1, 5, 900):
-        part = w[copies == c]
-        assert part.mean() == pytest.approx(c, rel=0.02) and part.var() == pytest.approx(c, rel=0.05)
+def test_bootstrap_of_a_hot_key_and_many_keys(spark):
+    """Equal to the last digits from any partitions; a key's parts come as few rows; nulls have no group."""
+    rng = np.random.default_rng(8)
+    data = [("hot", int(y), float(v)) for y, v in zip(rng.integers(0, 2, 30_000), rng.normal(5, 2, 30_000).round(1), strict=True)]
+    data += [(f"k{i % 50}", 0, float(i)) for i in range(200)] + [(None, 0, 1.0), ("nan", 0, float("nan")), ("none", 0, None)]
+    df = spark.createDataFrame(data, "k string, y int, v double")
+    made = [rows(dist.mean_ci_by(df.repartition(n), ["k", "y"], "v", "bootstrap", replicates=300)) for n in (1, 7)]
+    assert [r[:2] for r in made[0]] == [r[:2] for r in made[1]] and len(made[0]) == 52
+    assert [r[2:] for r in made[0]] == [pytest.approx(r[2:]) for r in made[1]]
+    for key, _, n, mean, low, high in made[0]:
+        values = np.array([v for k, y, v in data if k == key and (key != "hot" or y == _)])
+        half = 1.96 * values.std(ddof=1) / np.sqrt(n)
+        assert n == len(values) and mean == pytest.approx(values.mean()) and low <= mean <= high
+        if key == "hot":
+            assert abs((high - low) / (2 * half) - 1) < 0.2
 
 
 def test_grid_intensity_drops_unknown_places(spark):
