@@ -69,24 +69,68 @@ def _innovations(w: np.ndarray, phi: np.ndarray, theta: np.ndarray):
     return squares, logs, guess
 
 
+STARTS = 6  # simplexes that run side by side
+LAPS = 200
+
+
+def _loss(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Twice the mean negative log likelihood, but for constants, at points in tanh scale."""
+    squares, logs, _ = _innovations(w, *np.tanh(at).T)
+    return np.log(np.maximum(squares / len(w), 1e-300)) + logs / len(w)
+
+
+def _simplex(loss, corners: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """The best point that Nelder and Mead's search finds from several simplexes (starts × 3 × 2) at once.
+
+    Every lap tries the four points of the method for all simplexes in one evaluation.
+    """
+    value = loss(corners.reshape(-1, 2)).reshape(len(corners), 3)
+    for _ in range(LAPS):
+        order = np.argsort(value, axis=1, kind="stable")
+        corners, value = np.take_along_axis(corners, order[:, :, None], axis=1), np.take_along_axis(value, order, axis=1)
+        size = np.abs(corners - corners[:, :1]).max(axis=(1, 2))
+        if ((value[:, 2] - value[:, 0] <= tolerance) & (size <= 1e-7)).all():
+            break
+        middle, worst = corners[:, :2].mean(axis=1), corners[:, 2]
+        # Reflected, expanded, contracted outside and inside.
+        tried = middle[:, None] + np.array([1.0, 2.0, 0.5, -0.5])[None, :, None] * (middle - worst)[:, None]
+        tried = np.clip(tried, -8.0, 8.0)
+        got = loss(tried.reshape(-1, 2)).reshape(len(corners), 4)
+        best, second, last = value.T
+        far = (got[:, 0] < best) & (got[:, 1] < got[:, 0])
+        outside = (got[:, 0] >= second) & (got[:, 0] < last)
+        inside = got[:, 0] >= last
+        pick = np.where(far, 1, np.where(inside, 3, np.where(outside, 2, 0)))
+        here = np.arange(len(corners))
+        better = got[here, pick] < np.where(outside, got[:, 0], np.where(inside, last, np.inf))
+        corners[better, 2], value[better, 2] = tried[here, pick][better], got[here, pick][better]
+        # Where a contraction does not help, the simplex shrinks towards its best corner.
+        if not better.all():
+            small = ~better
+            corners[small, 1:] = (corners[small, 1:] + corners[small, :1]) / 2
+            value[small, 1:] = loss(corners[small, 1:].reshape(-1, 2)).reshape(-1, 2)
+    return corners.reshape(-1, 2)[np.argmin(value)]
+
+
 def fit_arma_11(w: np.ndarray) -> tuple[float, float, float]:
     """phi, theta and variance that maximise the exact Gaussian likelihood.
 
-    The parameters are searched on a grid in tanh scale that is narrowed around its best point.
+    The likelihood may have several maxima and a ridge where phi and -theta nearly cancel, so simplex
+    searches start from the lowest valleys of a coarse grid in tanh scale, until all have converged.
     """
-    n, middle, half = len(w), np.zeros(2), 3.0
-    for _ in range(14):
-        side = np.linspace(-half, half, 25)
-        a, b = np.meshgrid(middle[0] + side, middle[1] + side, indexing="ij")
-        phi, theta = np.tanh(a).ravel(), np.tanh(b).ravel()
-        squares, logs, _ = _innovations(w, phi, theta)
-        loss = np.log(np.maximum(squares / n, 1e-300)) + logs / n
-        best = int(np.argmin(loss))
-        middle = np.array([a.ravel()[best], b.ravel()[best]])
-        half /= 4
-    phi, theta = np.tanh(middle)
+    side = np.linspace(-3.0, 3.0, 25)
+    grid = np.stack(np.meshgrid(side, side, indexing="ij"), axis=-1)
+    loss = _loss(w, grid.reshape(-1, 2)).reshape(25, 25)
+    padded = np.pad(loss, 1, constant_values=np.inf)
+    around = np.min([padded[1 + i : 26 + i, 1 + j : 26 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
+    # A valley is nowhere above its neighbours; the lowest point of the grid is always one.
+    valleys = np.flatnonzero(loss <= around)
+    valleys = valleys[np.argsort(loss.ravel()[valleys], kind="stable")][:STARTS]
+    step = side[1] - side[0]
+    corners = grid.reshape(-1, 2)[valleys][:, None, :] + step * np.array([[0.0, 0.0], [0.9, 0.3], [-0.3, 0.9]])
+    phi, theta = np.tanh(_simplex(lambda at: _loss(w, at), corners))
     squares, _, _ = _innovations(w, np.array([phi]), np.array([theta]))
-    return float(phi), float(theta), float(squares[0] / n)
+    return float(phi), float(theta), float(squares[0] / len(w))
 
 
 def arima_111(y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,8 @@ def rolling_mean_time(
     """Mean over the wall-clock window ``(t - days, t]`` at every distinct time of each series.
 
     Rows with the same time are peers and share one result; ``per_row=True`` joins it
-    back to every row.
+    back to every row. A row without a value asks for its window too: it gets the mean of
+    the values in there, and null where there are none.
 
     A series may be far too long for one task, so its timeline is cut into slices of
     ``days / slices``. A window then is the tail of the slice it starts in, the whole
@@ -43,8 +44,10 @@ def rolling_mean_time(
     grain, keys = width // slices, list(keys)
     clean = nan_to_null(F.col(value).cast("double"))
     rows = with_keys(df, [*keys, time]).select(*keys, F.col(time).alias("at"), clean.alias("v"))
-    rows = rows.where(F.col("v").isNotNull())
-    points = rows.groupBy(*keys, "at").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+    if not per_row:
+        rows = rows.where(F.col("v").isNotNull())
+    # A time without values is a point that adds nothing to any window and only asks for its own.
+    points = rows.groupBy(*keys, "at").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.count("v").alias("c"))
     points = points.withColumn("us", wall_micros("at"))
 
     # A point enters the window at its time and leaves it exactly ``width`` later: seen
@@ -80,7 +83,7 @@ def rolling_mean_time(
         F.coalesce(F.sum("c").over(between), F.lit(0)).alias("c_mid"),
     )
     joined = edges.join(middle, [*keys, "slice"])
-    mean = (F.col("s_edge") + F.col("s_mid")) / (F.col("c_edge") + F.col("c_mid"))
+    mean = ratio(F.col("s_edge") + F.col("s_mid"), F.col("c_edge") + F.col("c_mid"))
     result = joined.select(
         *keys, F.col("at").alias(time), (F.col("c_edge") + F.col("c_mid")).alias("points"), mean.alias("rolling_mean")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gaugework.functions.safe import ratio
 from gaugework.operators import aggregates as agg
 from gaugework.operators import clustering, windows
 from gaugework.operators.arima import arima_forecast
@@ -45,6 +47,22 @@ def rolling_mean_time_places(spark, sf_dir):
     return rounded(with_days(rolled, "ts"), 6, "rolling_mean")
 
 
+@query(
+    "rolling_mean_per_row",
+    f"""
+    SELECT state, agency, strftime(ts, '%Y-%m-%d') AS ts, quantity, tax, count(tax) OVER w AS points,
+           round(avg(tax) OVER w + 1.3717e-8, 6) AS rolling_mean
+    FROM obs WINDOW w AS (PARTITION BY state, agency ORDER BY ts RANGE BETWEEN {THIRTY_DAYS} AND CURRENT ROW)
+    """,
+    obs=True,
+)
+def rolling_mean_per_row(spark, sf_dir):
+    """Every row with its window's mean; rows without a tax get that of the values before them."""
+    rows = observations(spark, sf_dir).select("state", "agency", "ts", "quantity", "tax")
+    rolled = windows.rolling_mean_time(rows, ["state", "agency"], "ts", "tax", per_row=True)
+    return rounded(with_days(rolled, "ts"), 6, "rolling_mean")
+
+
 # Tax, without the months that every series lacks here: a gap to fill.
 GAPPED = "gapped AS (SELECT * FROM obs WHERE month(ts) NOT IN (2, 5, 6) AND tax IS NOT NULL)"
 
@@ -175,10 +193,63 @@ def stl_decomposition(spark, sf_dir):
     return stl(observations(spark, sf_dir), ["location"], "ts", MEASURES)
 
 
+def _all_gapped(spark, sf_dir):
+    """Every measure without the same months."""
+    known = ~F.month("ts").isin(2, 5, 6)
+    return observations(spark, sf_dir).withColumns({m: F.when(known, F.col(m)) for m in MEASURES})
+
+
 @query("stl_decomposition_filled")
 def stl_decomposition_filled(spark, sf_dir):
     """The calendar is completed and filled before the decomposition."""
-    return stl(_gapped(spark, sf_dir), ["state"], "ts", MEASURES, gaps="fill")
+    return stl(_all_gapped(spark, sf_dir), ["state"], "ts", MEASURES, gaps="fill")
+
+
+def _closed(parts):
+    """Months, observed values and status, and whether the parts add up to what was observed."""
+    sums = F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("observed")) <= 1e-9 * F.greatest(F.abs("observed"), F.lit(1.0))
+    told = parts.withColumn("closed", F.when(F.col("status") == "ok", F.coalesce(sums, F.lit(False))))
+    return rounded(with_days(told.drop("trend", "seasonal", "resid"), "month_end"), 4, "observed")
+
+
+STATUS = """CASE WHEN count(*) OVER (PARTITION BY {0}, measure) > 24 THEN 'ok' ELSE 'too few points' END AS status,
+      CASE WHEN count(*) OVER (PARTITION BY {0}, measure) > 24 THEN TRUE END AS closed"""
+
+
+@query(
+    "stl_series",
+    f"""
+    WITH m AS (SELECT location, measure, last_day(ts) AS month_end, avg(value) AS observed FROM long GROUP BY ALL)
+    SELECT location, measure, strftime(month_end, '%Y-%m-%d') AS month_end, round(observed + 1.3717e-6, 4) AS observed,
+      {STATUS.format("location")}
+    FROM m
+    """,
+    long=True,
+)
+def stl_series(spark, sf_dir):
+    return _closed(stl(observations(spark, sf_dir), ["location"], "ts", MEASURES))
+
+
+@query(
+    "stl_series_filled",
+    f"""
+    WITH m AS (SELECT state, measure, last_day(ts) AS month_end, avg(value) AS value FROM long WHERE month(ts) NOT IN (2, 5, 6) GROUP BY ALL),
+    spine AS (
+      SELECT e.state, e.measure, last_day(CAST(unnest(generate_series(date_trunc('month', e.low), date_trunc('month', e.high), INTERVAL 1 MONTH)) AS DATE)) AS month_end
+      FROM (SELECT state, measure, min(month_end) AS low, max(month_end) AS high FROM m GROUP BY ALL) e
+    ), filled AS (
+      SELECT s.state, s.measure, s.month_end,
+        coalesce(m.value, last_value(m.value IGNORE NULLS) OVER (PARTITION BY s.state, s.measure ORDER BY s.month_end)) AS observed
+      FROM spine s LEFT JOIN m ON m.state = s.state AND m.measure = s.measure AND m.month_end = s.month_end
+    )
+    SELECT state, measure, strftime(month_end, '%Y-%m-%d') AS month_end, round(observed + 1.3717e-6, 4) AS observed,
+      {STATUS.format("state")}
+    FROM filled
+    """,
+    long=True,
+)
+def stl_series_filled(spark, sf_dir):
+    return _closed(stl(_all_gapped(spark, sf_dir), ["state"], "ts", MEASURES, gaps="fill"))
 
 
 @query("arima_forecast")
@@ -186,6 +257,34 @@ def arima(spark, sf_dir):
     return arima_forecast(observations(spark, sf_dir), ["location"], "ts", MEASURES)
 
 
+@query(
+    "arima_calendar",
+    """
+    WITH m AS (SELECT location, measure, last_day(ts) AS month_end FROM long GROUP BY ALL),
+    s AS (SELECT location, measure, count(*) AS n, max(month_end) AS last FROM m GROUP BY ALL)
+    SELECT location, measure, CAST(i AS INT) AS step, strftime(last_day(last + to_months(CAST(i AS INT))), '%Y-%m-%d') AS month_end,
+           'ok' AS status, CASE WHEN i >= 3 THEN TRUE END AS steady, TRUE AS widening
+    FROM s, range(1, 13) t(i) WHERE n > 24
+    UNION ALL SELECT location, measure, 0, NULL, 'too few points', NULL, NULL FROM s WHERE n <= 24
+    """,
+    long=True,
+)
+def arima_calendar(spark, sf_dir):
+    """Steps, months and status of the forecasts; changes shrink by a constant factor and errors never do."""
+    made = arima_forecast(observations(spark, sf_dir), ["location"], "ts", MEASURES)
+    order = Window.partitionBy("location", "measure").orderBy("step")
+    change = F.col("forecast") - F.lag("forecast").over(order)
+    told = made.withColumn("change", change).withColumn("before", F.lag("change").over(order))
+    told = told.withColumn("first", F.first("forecast").over(order))
+    # Every change is the one before times phi, which is that of the second and third step.
+    factor = F.first(F.when(F.col("step") == 3, ratio(F.col("change"), F.col("before"))), ignorenulls=True)
+    told = told.withColumn("phi", factor.over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    near = F.abs(F.col("change") - F.coalesce("phi", F.lit(0.0)) * F.col("before")) <= 1e-9 * F.greatest(F.abs("first"), F.lit(1.0))
+    wider = F.col("std_error") >= F.coalesce(F.lag("std_error").over(order), F.lit(0.0))
+    told = told.withColumn("steady", F.when(F.col("step") >= 3, near)).withColumn("widening", wider)
+    return with_days(told.select("location", "measure", "step", "month_end", "status", "steady", "widening"), "month_end")
+
+
 MATRIX = """
     m AS (SELECT state, measure, last_day(ts) AS month_end, avg(value) AS value FROM long GROUP BY ALL),
     cells AS (SELECT e.state, e.measure, t.month_end, coalesce(m.value, 0) AS value

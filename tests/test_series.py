@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates as agg
-from gaugework.operators import clustering, ward, windows
+from gaugework.operators import arima, clustering, ward, windows
 from gaugework.operators.arima import arima_111, arima_forecast, fit_arma_11
 from gaugework.operators.stl import loess, stl, stl_fit
 from gaugework.operators.ward import ward_linkage
@@ -122,6 +122,42 @@ def test_stl_recovers_components():
     assert trend + seasonal == pytest.approx(line, abs=1e-6)
 
 
+def direct_stl(y, period, seasonal, robust):
+    """The decomposition point by point: every smooth value is one weighted line."""
+    n = len(y)
+    odd = lambda v: int(np.ceil(v)) + (int(np.ceil(v)) + 1) % 2
+    span_t, span_l = odd(1.5 * period / (1 - 1.5 / seasonal)), odd(period)
+    w, trend, season = np.ones(n), np.zeros(n), np.zeros(n)
+    for lap in range(16 if robust else 1):
+        for _ in range(2 if robust else 5):
+            cycle = {}
+            for phase in range(period):
+                places = list(range(phase, n, period))
+                sub, subw = np.array([y[i] - trend[i] for i in places]), np.array([w[i] for i in places])
+                for k in range(len(places) + 2):
+                    cycle[phase + (k - 1) * period] = direct_loess(sub, seasonal, subw, float(k))
+            c = np.array([cycle[i] for i in range(-period, n + period)])
+            for width in (period, period, 3):
+                c = np.array([c[i : i + width].sum() / width for i in range(len(c) - width + 1)])
+            low = np.array([direct_loess(c, span_l, np.ones(n), float(i + 1)) for i in range(n)])
+            season = np.array([cycle[i] for i in range(n)]) - low
+            trend = np.array([direct_loess(y - season, span_t, w, float(i + 1)) for i in range(n)])
+        off = np.abs(y - season - trend) / (6 * np.median(np.abs(y - season - trend)))
+        w = np.array([1.0 if u <= 0.001 else 0.0 if u > 0.999 else (1 - u * u) ** 2 for u in off])
+    return trend, season
+
+
+@pytest.mark.parametrize("robust", [False, True])
+@pytest.mark.parametrize("n", [26, 41, 60])
+def test_stl_equals_its_slow_form(n, robust):
+    rng = np.random.default_rng(n)
+    t = np.arange(n)
+    y = 0.1 * t + 3 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 1, n) + 10 * (rng.random(n) < 0.05)
+    trend, season = stl_fit(y, 12, 13, robust)
+    slow_trend, slow_season = direct_stl(y, 12, 13, robust)
+    assert trend == pytest.approx(slow_trend, abs=1e-6) and season == pytest.approx(slow_season, abs=1e-6)
+
+
 @pytest.mark.parametrize("noise", [0.0, 1e-14, 1e-10])
 @pytest.mark.parametrize("n", [25, 60, 120, 300])
 def test_stl_keeps_lines_and_constants(n, noise):
@@ -172,6 +208,31 @@ def test_arma_likelihood_is_the_gaussian_one():
     assert squares[0] == pytest.approx(w @ np.linalg.solve(cov, w)) and logs[0] == pytest.approx(np.linalg.slogdet(cov)[1])
 
 
+def narrowed_grid(w):
+    """The smallest loss that a grid narrowed around its best point finds."""
+    middle, half, least = np.zeros(2), 3.0, np.inf
+    for _ in range(14):
+        side = np.linspace(-half, half, 25)
+        at = np.stack(np.meshgrid(middle[0] + side, middle[1] + side, indexing="ij"), axis=-1).reshape(-1, 2)
+        loss = arima._loss(w, at)
+        middle, half, least = at[np.argmin(loss)], half / 4, min(least, loss.min())
+    return least
+
+
+def test_likelihood_is_never_below_a_fine_grids():
+    rng = np.random.default_rng(23)
+    for case in range(500):
+        phi, theta = rng.uniform(-0.98, 0.98, 2)
+        if case % 4 == 0:
+            theta = -phi + rng.normal(0, 0.02)
+        w = simulate(phi, theta, int(rng.integers(24, 90)), case)
+        if case % 5 == 0:
+            w[rng.integers(len(w))] += 15
+        got = np.array(fit_arma_11(w)[:2])
+        mine = arima._loss(w, np.arctanh(np.clip(got, -1 + 1e-15, 1 - 1e-15))[None])[0]
+        assert mine <= narrowed_grid(w) + 1e-9, (case, phi, theta)
+
+
 def test_forecast_dates_and_gate(spark):
     rng = np.random.default_rng(8)
     data = [(k, t, float(v)) for k, n in (("a", 24), ("b", 25)) for t, v in zip(months(n), rng.normal(size=n).cumsum(), strict=True)]
@@ -288,6 +349,27 @@ def test_ward_of_ties_and_of_one(spark):
     assert ward_linkage(df.limit(1), "k", ["a"]).count() == 0
 
 
+def test_rolling_per_row_asks_for_windows(spark):
+    """A row without a value gets the mean of those before it, as a time window over rows does."""
+    rng = np.random.default_rng(12)
+    data = []
+    for key, n in (("a", 400), ("b", 40)):
+        for _ in range(n):
+            at = START + dt.timedelta(hours=int(rng.integers(0, 24 * 120)))
+            data.append((key, at, None if rng.random() < 0.4 else float(rng.normal())))
+    data += [("c", START, None), (None, START, 1.0), ("d", None, 2.0), ("e", START, float("nan")), ("e", START + dt.timedelta(days=2), 4.0)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, v double")
+    got = windows.rolling_mean_time(df, ["k"], "t", "v", days=10, per_row=True).collect()
+    assert len(got) == len(data)
+    for r in got:
+        if r["k"] is None or r["t"] is None:
+            assert r["rolling_mean"] is None
+            continue
+        inside = [v for k, t, v in data if k == r["k"] and t is not None and r["t"] - dt.timedelta(days=10) < t <= r["t"] and v is not None and v == v]
+        assert r["points"] == len(inside)
+        assert r["rolling_mean"] == (pytest.approx(np.mean(inside)) if inside else None)
+
+
 def test_ward_on_a_grid_of_ties(spark):
     """Equal distances everywhere, several blocks: heights as greedy merging, sizes add up, the last merge holds all."""
     x = [(float(i % 6), float(i // 6)) for i in range(36)] * 2
