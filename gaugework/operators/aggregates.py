@@ -261,13 +261,14 @@ def edge_width(edges: DataFrame, widest: float = 5.0) -> DataFrame:
 def hierarchy_sum(df: DataFrame, path: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Sum at every level of ``path`` + measure, with parent and share of the parent.
 
-    The rows are reduced to the leaves first; only the leaves are rolled up.
+    The rows are reduced to the leaves once; nodes, parents and the grand total are all
+    summed from that settled table.
     Output: level, the path columns, measure (null above its level), parent, value, share.
     """
     path = list(path)
     sums = [F.sum(nan_to_null(F.col(m).cast("double"))).alias(m) for m in measures]
     leaves = with_keys(df, path).groupBy(*path).agg(*sums)
-    leaves = melt(leaves, path, measures, value_name="leaf")
+    leaves = settle(melt(leaves, path, measures, value_name="leaf"))
     levels = [*path, "measure"]
     rolled = leaves.rollup(*levels).agg(F.sum("leaf").alias("value"), F.grouping_id().alias("gid"))
     # grouping_id is 0 at the deepest level and 2^k - 1 when the last k levels are rolled up.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.safe import with_keys
@@ -66,10 +66,24 @@ def time_bounds(df: DataFrame, time: str) -> DataFrame:
 
 def last_period(df: DataFrame, time: str, count: int, unit: str) -> DataFrame:
     """Rows within the period that ends at the latest time of the table."""
+    latest = one_row(df.agg(F.max(time).alias("last")))["last"]
+    return df.where(F.col(time) >= latest - _interval(count, unit))
+
+
+def last_periods(df: DataFrame, time: str, periods: dict[str, tuple[int, str]], name: str = "period") -> DataFrame:
+    """Rows of several periods that end at the latest time, each row once per period it lies in.
+
+    One maximum and one pass over the rows serve all periods.
+    """
+    latest = one_row(df.agg(F.max(time).alias("last")))["last"]
+    tags = [F.when(F.col(time) >= latest - _interval(count, unit), F.lit(label)) for label, (count, unit) in periods.items()]
+    return df.withColumn(name, F.explode(F.array_compact(F.array(*tags))))
+
+
+def _interval(count: int, unit: str) -> Column:
     if unit.lower().rstrip("s") not in ("day", "month", "year"):
         raise ValueError(f"unknown unit {unit!r}")
-    latest = one_row(df.agg(F.max(time).alias("last")))["last"]
-    return df.where(F.col(time) >= latest - F.expr(f"INTERVAL {int(count)} {unit}"))
+    return F.expr(f"INTERVAL {int(count)} {unit}")
 
 
 def gate(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators.joins import one_row
-from gaugework.session import cut_lineage
+from gaugework.session import cut_lineage, settle
 
 # A word is a letter, digit or underscore followed by more of them or apostrophes.
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
@@ -51,14 +51,35 @@ def token_counts(
     counts = words.where(~F.col("word").isin(*stopwords)).groupBy("word").agg(F.count("*").alias("n"))
     if not merge_plurals:
         return counts
-    # A word ends in one s at most to count as a plural, so it is never a singular as
-    # well: a group holds a word, its plural, or both.
-    plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss") & (F.length("word") > 1)
-    base = F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word"))
-    merged = counts.groupBy(base.alias("base")).agg(F.sum("n").alias("n"), F.min("word").alias("word"))
+    merged = counts.groupBy(singular("word").alias("base")).agg(F.sum("n").alias("n"), F.min("word").alias("word"))
     return merged.select("word", "n")
 
 
+def singular(word: str) -> Column:
+    """A word without its plural s.
+
+    A word ends in one s at most to count as a plural, so it is never a singular as
+    well: words of one singular are a word, its plural, or both.
+    """
+    plural = F.col(word).endswith("s") & ~F.col(word).endswith("ss") & (F.length(word) > 1)
+    return F.when(plural, F.left(F.col(word), F.length(word) - 1)).otherwise(F.col(word))
+
+
+def merge_plurals_of(neighbours: DataFrame) -> DataFrame:
+    """Neighbour counts with every plural, on either side, counted as its singular where that occurs too.
+
+    The plural map has one row per plural that has a singular; pairs that become alike are added up.
+    """
+    words = neighbours.select(F.explode(F.array("first", "second")).alias("word")).where(F.col("word").isNotNull()).distinct()
+    pairs = words.groupBy(singular("word").alias("to")).agg(F.max("word").alias("word"), F.count("*").alias("forms"))
+    plurals = settle(pairs.where("forms > 1").select("word", "to"))
+    out = neighbours
+    for side in ("first", "second"):
+        named = plurals.select(F.col("word").alias(side), F.col("to").alias("to"))
+        out = out.join(named, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    return cut_lineage(out.groupBy("first", "second").agg(F.sum("n").alias("n")), "neighbours")
+
+
 def neighbour_counts(df: DataFrame, text: str, stopwords: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Frequency of every word (no stop words) together with the word after it.
 
@@ -120,9 +141,15 @@ def phrase_counts(
     text: str,
     stopwords: Sequence[str] = tuple(STOP_WORDS),
     threshold: float = 30.0,
+    merge_plurals: bool = False,
 ) -> DataFrame:
-    """Words and collocations together: a word inside a collocation is not counted twice."""
-    candidates, words = _pairs_and_words(neighbour_counts(df, text, stopwords))
+    """Words and collocations together: a word inside a collocation is not counted twice.
+
+    With ``merge_plurals`` a plural counts as its singular where both occur, in words and
+    at both ends of pairs, before pairs are scored.
+    """
+    neighbours = neighbour_counts(df, text, stopwords)
+    candidates, words = _pairs_and_words(merge_plurals_of(neighbours) if merge_plurals else neighbours)
     pairs = _scored(candidates, words, threshold)
     used = pairs.select(F.explode(F.array("first", "second")).alias("word"), (-F.col("n")).alias("n"))
     singles = words.unionByName(used)

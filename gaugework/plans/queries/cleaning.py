@@ -13,7 +13,7 @@ from gaugework.plans.cleaning import clean_observations
 from gaugework.plans.fixtures import MEASURES, coordinates, observations, table
 from gaugework.plans.queries.base import as_long, day, query, rounded, with_days
 from gaugework.session import scratch_path
-from gaugework.sources import export_filtered, read_observations, write_csv
+from gaugework.sources import export_filtered, malformed_lines, read_observations, read_table, write_csv, write_table
 
 
 @query(
@@ -43,6 +43,46 @@ def read_clean_csv(spark, sf_dir):
     return rounded(rounded(as_long(means, "year", "month"), 4, "quantity"), 6, "tax")
 
 
+@query(
+    "malformed_csv_lines",
+    """
+    SELECT CASE s_suppkey % 6 WHEN 1 THEN 'short' WHEN 2 THEN 'long' ELSE 'quotes' END AS problem,
+           count(*) AS n, sum(s_suppkey)::BIGINT AS keys
+    FROM supplier WHERE s_suppkey % 6 IN (1, 2, 3, 4) GROUP BY 1
+    """,
+)
+def malformed_csv_lines(spark, sf_dir):
+    """Suppliers as lines, a part of them too short, too long, with an open quote or with one inside a field."""
+    key, name = F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), F.col("s_name"), F.lit(', ""Ltd"""'))
+    broken = {1: [key, name], 2: [key, name, F.lit("1"), F.lit("x")], 3: [key, F.lit("1"), F.lit('"open')], 4: [key, F.lit('in"side'), F.lit("1")]}
+    line = F.concat_ws(",", key, name, F.lit("1"))
+    for rest, parts in broken.items():
+        line = F.when(F.col("s_suppkey") % 6 == rest, F.concat_ws(",", *parts)).otherwise(line)
+    path = scratch_path(spark, "lines")
+    lines = table(spark, sf_dir, "supplier").select(line.alias("key,name,value"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    found = malformed_lines(spark, path)
+    keys = F.sum(F.split("line", ",")[0].cast("long"))
+    return found.groupBy("problem").agg(F.count("*").alias("n"), keys.alias("keys"))
+
+
+@query(
+    "table_by_year",
+    """
+    SELECT location, count(*) AS n, round(sum(quantity) + 1.3717e-4, 2) AS quantity FROM obs
+    WHERE year(ts) IN (1995, 1997) GROUP BY location
+    """,
+    obs=True,
+)
+def table_by_year(spark, sf_dir):
+    """Observations laid out by year, of which only two years' folders are read back."""
+    path = scratch_path(spark, "by-year")
+    write_table(observations(spark, sf_dir).select("location", "ts", "quantity"), path, "ts")
+    years = read_table(spark, path).where(F.col("year").isin(1995, 1997))
+    sums = years.groupBy("location").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+    return rounded(sums, 2, "quantity")
+
+
 @query(
     "export_filtered_csv",
     """
@@ -348,13 +388,22 @@ def time_bounds(spark, sf_dir):
 )
 def last_period(spark, sf_dir):
     obs = observations(spark, sf_dir).select("ts", "price")
+    periods = {"1 month": (1, "month"), "6 months": (6, "months"), "1 year": (1, "year")}
+    tagged = filters.last_periods(obs, "ts", periods)
+    return rounded(tagged.groupBy("period").agg(F.count("*").alias("n"), F.sum("price").alias("price")), 2, "price")
 
-    def part(name, count, unit):
-        kept = filters.last_period(obs, "ts", count, unit)
-        return kept.agg(F.count("*").alias("n"), F.sum("price").alias("price")).withColumn("period", F.lit(name))
 
-    parts = part("1 month", 1, "month").unionByName(part("6 months", 6, "months")).unionByName(part("1 year", 1, "year"))
-    return rounded(parts, 2, "price")
+@query(
+    "last_month",
+    """
+    SELECT state, count(*) AS n, round(sum(price) + 1.3717e-4, 2) AS price FROM obs
+    WHERE ts >= (SELECT max(ts) FROM obs) - INTERVAL 1 MONTH GROUP BY state
+    """,
+    obs=True,
+)
+def last_month(spark, sf_dir):
+    kept = filters.last_period(observations(spark, sf_dir).select("state", "ts", "price"), "ts", 1, "month")
+    return rounded(kept.groupBy("state").agg(F.count("*").alias("n"), F.sum("price").alias("price")), 2, "price")
 
 
 @query(

@@ -290,6 +290,26 @@ def phrase_counts(spark, sf_dir):
     return words.phrase_counts(table(spark, sf_dir, "documents"), "text")
 
 
+@query(
+    "phrase_counts_merged",
+    f"""
+    WITH {_WORDS}, {_COUNTS.replace("uni AS", "raw_uni AS")}, {_PAIRS.replace("bi AS", "raw_bi AS")},
+    plural AS (SELECT u.word, s.word AS base FROM raw_uni u JOIN raw_uni s
+               ON u.word LIKE '%s' AND u.word NOT LIKE '%ss' AND s.word = left(u.word, length(u.word) - 1)),
+    uni AS (SELECT coalesce(base, r.word) AS word, sum(n) AS n FROM raw_uni r LEFT JOIN plural p ON p.word = r.word GROUP BY 1),
+    bi AS (SELECT coalesce(p.base, first) AS first, coalesce(q.base, second) AS second, CAST(sum(n) AS BIGINT) AS n
+           FROM raw_bi LEFT JOIN plural p ON p.word = first LEFT JOIN plural q ON q.word = second GROUP BY 1, 2),
+    {_SCORES}, found AS (SELECT * FROM s WHERE score > 30),
+    used AS (SELECT first AS word, -n AS n FROM found UNION ALL SELECT second, -n FROM found
+             UNION ALL SELECT word, n FROM uni)
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM used GROUP BY word HAVING sum(n) > 0
+    UNION ALL SELECT first || ' ' || second, n FROM found
+    """,
+)
+def phrase_counts_merged(spark, sf_dir):
+    return words.phrase_counts(table(spark, sf_dir, "documents"), "text", merge_plurals=True)
+
+
 @query(
     "place_words",
     """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ def local_session(name: str = "gaugework", cores: int | str = 8, memory: str = "
     )
 
 
+LOCAL_FOLDERS: dict[str, str] = {}  # by application, for local sessions without a folder of their own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -43,14 +48,51 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="gaugework-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in LOCAL_FOLDERS:
+        LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="gaugework-")
+    return LOCAL_FOLDERS[application]
+
+
+class Held:
+    """What operators keep in memory or write to the shared folder while a scope is open."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+        self.paths: list[str] = []
+
+
+_SCOPES: list[Held] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Held]:
+    """Lets go of everything that operators keep or write inside, once the block ends.
+
+    Results are lazy: consume them (collect, write) inside the block. Scopes may be nested;
+    each lets go of what was made while it was the innermost one. Without a scope what is kept stays until
+    ``spark.catalog.clearCache()``, and scratch tables stay in the shared folder.
+    """
+    held = Held()
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+        for frame in held.frames:
+            frame.unpersist()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in held.paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/gaugework-{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; the innermost open scope deletes it at its end."""
+    path = f"{shared_dir(spark)}/gaugework-{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -87,9 +129,11 @@ def settle(df: DataFrame) -> DataFrame:
     A plain join against the result is then broadcast by Catalyst only when the
     measured size is below ``spark.sql.autoBroadcastJoinThreshold``; a larger one is
     joined by a shuffle, which adaptive execution splits where a key is hot. What is
-    kept has one row per key; ``spark.catalog.clearCache()`` lets go of it.
+    kept has one row per key; the innermost ``scope`` lets go of it, or ``spark.catalog.clearCache()``.
     """
     kept = df.persist()
+    if _SCOPES:
+        _SCOPES[-1].frames.append(kept)
     kept.count()
     return kept
 

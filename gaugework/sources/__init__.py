@@ -1,3 +1,3 @@
-from gaugework.sources.files import export_filtered, read_observations, read_table, write_csv, write_table
+from gaugework.sources.files import export_filtered, malformed_lines, read_observations, read_table, write_csv, write_table
 
-__all__ = ["export_filtered", "read_observations", "read_table", "write_csv", "write_table"]
+__all__ = ["export_filtered", "malformed_lines", "read_observations", "read_table", "write_csv", "write_table"]

@@ -28,6 +28,24 @@ def read_observations(
         raise
 
 
+def malformed_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(problem, line) of every line that ``read_observations`` has to pad, cut or reinterpret.
+
+    ``short`` and ``long`` lines have fewer or more fields than the header; in ``quotes``, a quote is
+    left open, or stands inside a field without being doubled. Blank lines are no records. One
+    pass over the lines as they are, for files without line breaks inside quotes.
+    """
+    fields = len(read_observations(spark, path, encoding).columns)
+    raw = spark.read.schema("line string").option("header", True).option("encoding", encoding)
+    lines = raw.option("sep", "\u0001").option("quote", "").csv(path).where("trim(line) <> ''")
+    whole, part = r'"[^"]*+(?:""[^"]*+)*+"', r'[^",]*+'
+    sound = F.col("line").rlike(f"^(?:{whole}|{part})(?:,(?:{whole}|{part}))*+$")
+    commas = F.regexp_replace("line", f"{whole}|[^,]", "")
+    found = F.length(commas) + 1
+    problem = F.when(~sound, "quotes").when(found < fields, "short").when(found > fields, "long")
+    return lines.select(problem.alias("problem"), "line").where(F.col("problem").isNotNull())
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet twin of ``read_observations``: typed, with column pruning and filter pushdown.
 
