@@ -39,13 +39,14 @@ def kpi(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation) and max of numeric columns."""
-    quartiles = quantiles(df, columns, (0.25, 0.5, 0.75), approximate=approximate)
-    quartiles = quartiles.select("measure", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
-    basics = kpi(df, columns)
-    return basics.join(quartiles, "measure", "left").select(
-        "measure", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+    """count, mean, std, min, quartiles (linear interpolation) and max of numeric columns.
+
+    The moments are taken in the pass of the quartiles' sketch.
+    """
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = quantiles(df, columns, (0.25, 0.5, 0.75), approximate=approximate, also=moments)
+    quartiles = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    return found.select("measure", F.col("n").alias("count"), "mean", "std", "min", *quartiles, "max")
 
 
 def profile_schema(df: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.safe import nan_to_null, ratio, with_keys
@@ -23,6 +23,15 @@ def _long(df: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFr
     return melt(with_keys(clean, keys), keys, measures)
 
 
+def _stats(df: DataFrame, measures: Sequence[str], keys: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Aggregates of every (keys…, measure) that has values, taken over the wide rows; only the result is long."""
+    values = [nan_to_null(F.col(m).cast("double")) for m in measures]
+    named = {"n": F.count} | aggs
+    wide = with_keys(df, keys).groupBy(*keys).agg(*[f(v).alias(f"{name}_{i}") for i, v in enumerate(values) for name, f in named.items()])
+    cells = [F.struct(F.lit(m).alias("measure"), *[F.col(f"{name}_{i}").alias(name) for name in named]) for i, m in enumerate(measures)]
+    return wide.select(*keys, F.inline(F.array(*cells))).where("n > 0")
+
+
 # --- histograms ------------------------------------------------------------------------
 
 
@@ -33,10 +42,11 @@ def histogram(df: DataFrame, measures: Sequence[str], bins: int = 50, keys: Sequ
     """
     group = [*keys, "measure"]
     long = _long(df, measures, keys)
-    flat = F.max("value") == F.min("value")
-    ranges = long.groupBy(*group).agg(
-        F.when(flat, F.min("value") - 0.5).otherwise(F.min("value")).alias("low"),
-        F.when(flat, F.max("value") + 0.5).otherwise(F.max("value")).alias("high"),
+    flat = F.col("least") == F.col("most")
+    ranges = _stats(df, measures, keys, {"least": F.min, "most": F.max}).select(
+        *group,
+        F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("low"),
+        F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")).alias("high"),
     )
     ranges = settle(ranges.withColumn("width", (F.col("high") - F.col("low")) / bins))
     guess = F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int"), F.lit(bins - 1))
@@ -78,6 +88,19 @@ def box_stats(df: DataFrame, measures: Sequence[str], keys: Sequence[str] = (),
     """Quartiles, whiskers (extreme data within the fences) and the number of outliers."""
     group = [*keys, "measure"]
     fences = settle(_fences(df, measures, keys, reach))
+    if not keys:
+        # A few numbers per measure become literals: one pass over the columns as they are.
+        ends = {r["measure"]: r for r in fences.collect()}
+        values = {m: nan_to_null(F.col(m).cast("double")) for m in ends}
+        aggs = []
+        for m, r in ends.items():
+            within = values[m].between(r["lower_fence"], r["upper_fence"])
+            aggs += [f(F.when(within, values[m])).alias(f"{n}_{m}") for n, f in (("low", F.min), ("high", F.max))]
+            aggs.append(F.count_if(~within).alias(f"out_{m}"))
+        wide = one_row(df.agg(*aggs)) if aggs else None
+        cases = {"whisker_low": "low", "whisker_high": "high", "outliers": "out"}
+        picked = {c: F.coalesce(*[F.when(F.col("measure") == m, wide[f"{n}_{m}"]) for m in ends]) if ends else F.lit(None) for c, n in cases.items()}
+        return fences.withColumns(picked).select("measure", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     whiskers = _long(df, measures, keys).join(fences, group).groupBy(*group).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -147,12 +170,7 @@ def kde(
     """
     group = [*keys, "measure"]
     long = _long(df, measures, keys)
-    stats = long.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-    )
+    stats = _stats(df, measures, keys, {"std": F.stddev_samp, "low": F.min, "high": F.max})
     stats = stats.withColumn("h", F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     stats = settle(stats)
     if grid == "shared":

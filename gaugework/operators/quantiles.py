@@ -12,10 +12,10 @@ sketch was; the sketch only decides how little data step 3 has to touch.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import pairwise
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.safe import nan_to_null, window_by, with_keys
@@ -44,16 +44,20 @@ def quantiles(
     keys: Sequence[str] = (),
     approximate: bool = False,
     accuracy: int = 10_000,
+    also: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per (keys…, measure) with ``n`` and an array ``q``.
 
-    ``approximate=True`` stops after the sketch: one pass, values within ``n / accuracy`` ranks.
+    ``approximate=True`` stops after the sketch: one pass, values within ``n / accuracy`` ranks. Without keys,
+    the aggregates ``also`` names are taken of every measure in the pass of the sketch, as further columns.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     group = [*keys, "measure"]
     clean = with_keys(df, keys).select(*keys, *[nan_to_null(F.col(m).cast("double")).alias(m) for m in measures])
+    if also and keys:
+        raise ValueError("further aggregates are for whole tables")
     long = melt(clean, keys, measures)
-    if approximate:
+    if approximate and not also:
         sketch = F.percentile_approx("value", probs, accuracy)
         return long.groupBy(*group).agg(F.count("*").alias("n"), sketch.alias("q"))
 
@@ -63,14 +67,16 @@ def quantiles(
     if keys:
         counted = _count_by_key(long, group, points, accuracy)
     else:
-        counted, long = _count_whole(clean, measures, points, probs, accuracy)
+        counted, long = _count_whole(clean, measures, points, probs, accuracy, approximate, also or {})
+        if approximate:
+            return counted
 
     # Every quantile needs the values at two neighbouring ranks. Place 2i is the open
     # interval below cut i and place 2i + 1 the cut itself; a rank lies at the place after
     # all those that end at or before it.
     ranks = [f"CAST({side}({p}) AS BIGINT)" for p in positions for side in ("floor", "ceil")]
     place_of = _number_of(f"upto[{i}] <= r" for i in range(2 * size))
-    wanted = counted.select(*group, "n", "cuts", "upto", F.expr(f"array({', '.join(ranks)})").alias("ranks"))
+    wanted = counted.select(*group, "n", "cuts", "upto", *(also or {}), F.expr(f"array({', '.join(ranks)})").alias("ranks"))
     wanted = wanted.withColumn("places", F.expr(f"transform(ranks, r -> {place_of})"))
     wanted = wanted.withColumn("before", F.expr("transform(places, s -> if(s = 0, 0, upto[greatest(s, 1) - 1]))"))
     wanted = settle(wanted.drop("upto")) if keys else wanted.drop("upto")
@@ -106,7 +112,13 @@ def quantiles(
     interpolated = ", ".join(
         f"v[{2 * i}] + (v[{2 * i + 1}] - v[{2 * i}]) * ({p} - floor({p}))" for i, p in enumerate(positions)
     )
-    return picked.select(*group, "n", F.expr(f"array({interpolated})").alias("q"))
+    result = picked.select(*group, "n", F.expr(f"array({interpolated})").alias("q"), *(also or {}))
+    if not also:
+        return result
+    # Measures without a value keep their row here.
+    blank = [F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("q"), *[F.lit(None).cast("double").alias(a) for a in also]]
+    named = df.sparkSession.createDataFrame([(m,) for m in measures], "measure string")
+    return result.unionByName(named.join(counted, "measure", "left_anti").select("measure", *blank))
 
 
 def _count_by_key(long: DataFrame, group: list[str], points: list[float], accuracy: int) -> DataFrame:
@@ -123,15 +135,27 @@ def _count_by_key(long: DataFrame, group: list[str], points: list[float], accura
 
 
 def _count_whole(
-    wide: DataFrame, measures: Sequence[str], points: list[float], probs: list[float], accuracy: int
+    wide: DataFrame,
+    measures: Sequence[str],
+    points: list[float],
+    probs: list[float],
+    accuracy: int,
+    approximate: bool,
+    also: dict[str, Callable[[Column], Column]],
 ) -> tuple[DataFrame, DataFrame]:
     """The same for whole columns, and the long table of the values that can matter.
 
-    All columns share each pass. The cuts (a few numbers per column) become literals, so
-    the rows are neither multiplied nor joined.
+    All columns share each pass, and ``also`` the first one. The cuts (a few numbers per column) become
+    literals, so the rows are neither multiplied nor joined.
     """
-    sketches = [F.percentile_approx(m, points, accuracy).alias(f"cuts_{m}") for m in measures]
-    first = wide.agg(*[F.count(m).alias(f"n_{m}") for m in measures], *sketches).collect()[0]
+    sketches = [F.percentile_approx(m, probs if approximate else points, accuracy).alias(f"cuts_{m}") for m in measures]
+    more = [f(F.col(m)).alias(f"{name}_{m}") for m in measures for name, f in also.items()]
+    first = wide.agg(*[F.count(m).alias(f"n_{m}") for m in measures], *sketches, *more).collect()[0]
+    extra = {m: [first[f"{name}_{m}"] for name in also] for m in measures}
+    added = "".join(f", `{name}` double" for name in also)
+    if approximate:
+        rows = [(m, first[f"n_{m}"], first[f"cuts_{m}"], *extra[m]) for m in measures]
+        return wide.sparkSession.createDataFrame(rows, f"measure string, n long, q array<double>{added}"), wide
     seen = [m for m in measures if first[f"n_{m}"]]
     tests = []
     for m in seen:
@@ -141,7 +165,7 @@ def _count_whole(
     rows, kept, width = [], {}, 2 * len(points)
     for k, m in enumerate(seen):
         n, cuts, upto = first[f"n_{m}"], first[f"cuts_{m}"], counts[k * width : (k + 1) * width]
-        rows.append((m, n, cuts, upto))
+        rows.append((m, n, cuts, upto, *extra[m]))
         ranks = {side(p * (n - 1)) for p in probs for side in (math.floor, math.ceil)}
         edges = [None, *cuts, None]
         inside = []
@@ -153,7 +177,7 @@ def _count_whole(
                 inside.append(f"({' AND '.join(above + below)})")
         if inside:
             kept[m] = F.expr(f"CASE WHEN {' OR '.join(inside)} THEN `{m}` END").alias(m)
-    counted = wide.sparkSession.createDataFrame(rows, "measure string, n long, cuts array<double>, upto array<long>")
+    counted = wide.sparkSession.createDataFrame(rows, f"measure string, n long, cuts array<double>, upto array<long>{added}")
     if not kept:
         return counted, melt(wide.where(F.lit(False)), [], measures)
     return counted, melt(wide.select(*kept.values()), [], list(kept))

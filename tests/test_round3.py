@@ -86,3 +86,18 @@ def test_plural_pairs(spark):
     assert got == {"red apple": 75, "glass": 3}
     apart = dict(rows(text.phrase_counts(df, "t", threshold=1.0)))
     assert "red apples" in apart or "apples" in apart
+
+
+def test_describe_of_empty_and_null_columns(spark):
+    df = spark.createDataFrame([(1.0, None, float("nan")), (3.0, None, 2.0), (2.0, None, None)], "a double, b double, c double")
+    got = {r["measure"]: r for r in agg.describe(df, ["a", "b", "c"]).collect()}
+    assert tuple(got["a"])[1:] == (3, 2.0, 1.0, 1.0, 1.5, 2.0, 2.5, 3.0)
+    assert tuple(got["b"])[1:] == (0,) + (None,) * 7
+    assert tuple(got["c"])[1:] == (1, 2.0, None, 2.0, 2.0, 2.0, 2.0, 2.0)
+    rough = {r["measure"]: r for r in agg.describe(df, ["a", "b"], approximate=True).collect()}
+    assert rough["a"]["q50"] == 2.0 and rough["b"]["count"] == 0 and rough["b"]["q50"] is None
+    none = agg.describe(df.limit(0), ["a"]).collect()
+    assert [tuple(r)[1:] for r in none] == [(0,) + (None,) * 7]
+    boxes = {r["measure"]: r for r in dist.box_stats(df, ["a", "b"]).collect()}
+    assert boxes["a"]["outliers"] == 0 and boxes["a"]["whisker_high"] == 3.0 and "b" not in boxes
+    assert dist.box_stats(df.limit(0), ["a"]).count() == 0
