@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(lowest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # Hashes, as ids may be so large that their sum is no long.
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v") % 1_000_033), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             break
         before = now

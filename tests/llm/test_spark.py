@@ -48,6 +48,13 @@ def test_components_of_a_chain(spark):
     assert got == {i: 10 for i in range(10, 41)} | {50: 50, 51: 50}
 
 
+def test_components_of_large_ids(spark):
+    most = 2**63 - 1
+    links = spark.createDataFrame([(most - i, most - i - 1) for i in range(8)] + [(-(2**63), -(2**63) + 5)], "a long, b long")
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == {most - i: most - 8 for i in range(9)} | {-(2**63): -(2**63), -(2**63) + 5: -(2**63)}
+
+
 def test_shards_fit_and_hold_every_row(spark):
     docs = spark.range(500).selectExpr("id AS doc_id", "repeat('x', CAST(id % 40 AS INT)) AS text", "'s' AS source")
     got = sharding.extendible_shards(docs, 1000).collect()
