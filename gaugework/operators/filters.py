@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -76,8 +78,10 @@ def last_periods(df: DataFrame, time: str, periods: dict[str, tuple[int, str]],
     One maximum and one pass over the rows serve all periods.
     """
     latest = one_row(df.agg(F.max(time).alias("last")))["last"]
-    tags = [F.when(F.col(time) >= latest - _interval(count, unit), F.lit(label)) for label, (count, unit) in periods.items()]
-    return df.withColumn(name, F.explode(F.array_compact(F.array(*tags))))
+    inside = {label: F.col(time) >= latest - _interval(count, unit) for label, (count, unit) in periods.items()}
+    tags = [F.when(test, F.lit(label)) for label, test in inside.items()]
+    # Rows of no period are left out before any list is made.
+    return df.where(reduce(or_, inside.values())).withColumn(name, F.explode(F.array_compact(F.array(*tags))))
 
 
 def _interval(count: int, unit: str) -> Column:
