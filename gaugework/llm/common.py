@@ -22,6 +22,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterable[pa.RecordBatch]:
+    """The same rows, few at a time. Spark bounds a batch by its bytes; this bounds what is made from it."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -42,6 +42,58 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(table(spark, []), 2, 80).count() == 0
 
 
+def plain_groups(rows, words, percent):
+    """Component of every row (id, text) by comparing all pairs of sets."""
+    sets = []
+    for _, text in rows:
+        found = (text or "").lower().split()
+        width = min(words, len(found))
+        sets.append({tuple(found[i : i + width]) for i in range(len(found) - width + 1)} if found else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group]
+
+
+def test_near_copies_on_both_sides_of_the_limit(spark, monkeypatch):
+    """A large neighbourhood, some of its pairs linked and some not, in several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CELLS", 4096)
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for k in draw.choice(60, size=int(draw.integers(1, 9)), replace=False):
+            text[k] = f"x{draw.integers(10**6)}"
+        rows.append((1000 + i, " ".join(text)))
+    want = dict(zip([r[0] for r in rows], plain_groups(rows, 2, 80), strict=True))
+    assert 10 < len(set(want.values())) < 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for productive in (0.1, 2.0):
+        monkeypatch.setattr(minhash, "PRODUCTIVE", productive)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2, 80).collect()}
+        assert sum(got[i] != want[i] for i in got) <= 2  # bands miss a pair at the limit now and then
+
+
+def test_intersections_equal_those_of_sets():
+    draw = np.random.default_rng(3)
+    sides = [[np.unique(draw.integers(0, 500, size=n).astype(np.uint64)) for n in draw.integers(0, 90, size=k)] for k in (7, 11)]
+    got = minhash.intersections(*sides)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sides[1]] for a in sides[0]]
+
+
+def test_different_texts_of_one_id(spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (4, ""), (4, ""), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(docs, 5, 80).collect()), key=str)
+    assert left == sorted([(1, one), (1, two), (4, ""), (4, ""), (None, one)], key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(50, 51)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
