@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, fold, small_batches, text_bytes
-from gaugework.session import cut_lineage
+from gaugework.llm.common import documents, fold, slices, text_bytes
+from gaugework.session import cut_lineage, scratch_path
 
 TYPES = 1022  # so many of the commonest words have vectors of their own at any count,
 LEAST = 100  # and every word that occurs that often in the training texts
@@ -22,6 +23,9 @@ WIDTH = 32
 NOISE = 48  # noise words, shared by a batch
 NOISE_INSIDE = 5  # noise words from the class of each word that has one
 BATCH = 4096
+COPY_TOKENS, COPIES = 1 << 22, 4096  # training tokens per copy of the model, and the most copies
+ROUNDS = 4  # how often the copies are averaged
+WHOLE = float(1 << 20)  # averages are sums of whole numbers of this fineness
 FLUSH = 1 << 22
 OTHER, END = 0, 1
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b"")).view(np.int64))  # no word is empty
@@ -143,22 +147,44 @@ def adjust(values: np.ndarray, squares: np.ndarray, steps: np.ndarray, rows: np.
     steps[at] += 1
 
 
-def train_nce(batches: Iterator[tuple], model: dict[str, np.ndarray], own: np.ndarray, seed: int) -> tuple[int, dict[str, np.ndarray]]:
-    """AdaGrad steps on batches of (target, last, last but one).
+def first_pace(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """AdaGrad's sums before the first step: one a row for the words' vectors."""
+    pace = {k: np.full_like(model[k], 1e-2) for k in ("q", "b", "c")}
+    return pace | {k: np.full(len(model[k]), 1e-4, np.float32) for k in ("r", "t")}
 
-    Returns the positions seen, and how often each row of the words' vectors was changed. A word
+
+def pace_rows(pace: dict[str, np.ndarray]) -> np.ndarray:
+    """Square roots of the sums beside the rows of ``as_rows``: of the row, averaged, and of an output's bias."""
+    mean = {k: pace[k].mean(axis=1) for k in "qc"}
+    rows = np.concatenate([pace["r"], mean["q"], mean["c"], pace["t"]])
+    bias = np.zeros_like(rows)
+    bias[len(pace["r"]) : len(pace["r"]) + len(pace["b"])] = pace["b"]
+    return np.sqrt(np.column_stack([rows, bias]))
+
+
+def pace_from_rows(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    r, q, c, t = np.split(np.square(rows), np.cumsum([len(like[k]) for k in "rqc"]))
+    wide = lambda x: np.repeat(x[:, :1], WIDTH, axis=1)
+    return {"r": r[:, 0].copy(), "q": wide(q), "b": q[:, 1].copy(), "c": wide(c), "t": t[:, 0].copy()}
+
+
+def train_nce(
+    batches: Iterator[tuple], model: dict[str, np.ndarray], own: np.ndarray, seed: int | list[int], squares: dict[str, np.ndarray] | None = None
+) -> tuple[int, dict[str, np.ndarray]]:
+    """AdaGrad steps on batches of (target, last, last but one), which change ``model`` and ``squares``.
+
+    Returns the batches seen, and how often each row of the words' vectors was changed. A word
     with a class is told from noise twice: its class from all outputs, itself from its class.
     """
     rng = np.random.default_rng(seed)
     share = output_shares(own)
     cumulated, log_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
-    squares = {k: np.full_like(model[k], 1e-2) for k in ("q", "b", "c")}
-    squares |= {k: np.full(len(model[k]), 1e-4, np.float32) for k in ("r", "t")}
+    squares = first_pace(model) if squares is None else squares
     steps = {k: np.zeros(len(model[k]), np.int64) for k in ("r", "t")}
     size, each, seen = len(own), class_size(len(own)), 0
     for w, one, two in batches:
         n = len(w)
-        seen += n
+        seen += 1
         first = outputs_of(w, size)
         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(share) - 1)
         r1, r2 = model["r"][one], model["r"][two]
@@ -241,58 +267,87 @@ def as_rows(model: dict[str, np.ndarray]) -> np.ndarray:
 def from_rows(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     r, q, c, t = np.split(rows, np.cumsum([len(like[k]) for k in "rqc"]))
     flat = lambda x: np.ascontiguousarray(x[:, :WIDTH])
-    return {"r": flat(r), "q": flat(q), "b": q[:, WIDTH].copy(), "c": flat(c), "t": t}
+    return {"r": flat(r), "q": flat(q), "b": q[:, WIDTH].copy(), "c": flat(c), "t": t.copy()}
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """One model from all texts: every core trains a copy on its texts, and the copies are averaged.
+    """One model from all texts of ``docs`` (doc_id, text): copies learn side by side and are averaged, ROUNDS times.
 
-    Tasks weigh by the positions they saw, and in a word's own vectors by how often they changed
-    them; rows that a task never changed stay out. The rows are averaged by their place in the model,
-    so what comes to the driver is one model, whatever the number of tasks.
+    A hash of id and text deals each text to a round and a copy, and orders it there. There is a
+    copy for every COPY_TOKENS tokens, up to COPIES, so what is learned depends on the texts and not on cores or partitions.
+    In each round a copy goes on from the average of the round before. Copies weigh by the batches that
+    they saw, and in a word's own vectors by how often they changed them; rows that a copy never
+    changed stay out. The sums are of whole numbers, whose order does not matter. What comes to the driver is one model a round.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    columns = [f"v{i}" for i in range(WIDTH + 1)]
+    spark = docs.sparkSession
+    copies = int(max(1, min(COPIES, -(-vocabulary.total // COPY_TOKENS))))
+    shared = spark.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        model = first_model(vocab.size, vocab.own)
+        for batch in slices(batches):
+            ids = [vocab.look_up(word_hashes(t))[0].astype(np.int32) for t in text_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["turn", "copy", "spot", "ids"])
+
+    spot = F.xxhash64("doc_id", "text")
+    turn, copy = F.pmod(spot, F.lit(ROUNDS)).cast("int"), F.pmod(F.shiftright(spot, 8), F.lit(copies)).cast("int")
+    dealt = docs.select(turn.alias("turn"), copy.alias("copy"), spot.alias("spot"), "text")
+    path, shape = scratch_path(spark, "training-ids"), "turn int, copy int, spot long, ids array<int>"
+    dealt.mapInArrow(encode, shape).write.partitionBy("turn").parquet(path)
+    model = first_model(vocabulary.size, vocabulary.own)
+    pace = first_pace(model)
+    for turn in range(ROUNDS):
+        rows = spark.read.schema(shape).parquet(path).where(F.col("turn") == turn).select("copy", "spot", "ids")
+        model, pace = one_round(rows, shared, model, pace, turn, copies)
+    return model
+
+
+def one_round(rows: DataFrame, shared, model: dict, pace: dict, turn: int, copies: int) -> tuple[dict, dict]:
+    """The average of the copies after this round's texts (copy, spot, ids), and of their AdaGrad sums."""
+    spark = rows.sparkSession
+    before = spark.sparkContext.broadcast((model, pace))
+    columns = [f"v{i}" for i in range(WIDTH + 3)]
 
-        def positions():
-            held, size = [], 0
-            for batch in batches:
-                for text in text_bytes(batch.column(0)):
-                    ids = vocab.look_up(word_hashes(text))[0]
-                    held.append((ids, *contexts(ids, vocab.size)))
-                    size += len(ids)
-                    if size >= BATCH:
-                        joined = [np.concatenate(v) for v in zip(*held, strict=True)]
-                        held, size = [], 0
-                        for low in range(0, len(joined[0]), BATCH):
-                            yield tuple(v[low : low + BATCH] for v in joined)
-            if size:
-                yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
-
-        seen, steps = train_nce(positions(), model, vocab.own, 19)
-        if seen:
-            weights = np.concatenate([steps["r"], np.full(len(model["q"]) + 2, seen), steps["t"]])
-            rows, changed = as_rows(model), np.flatnonzero(weights)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        texts = (row for batch in slices(batches) for row in zip(batch.column(0).to_pylist(), batch.column(2), strict=True))
+        for copy, group in groupby(texts, key=lambda row: row[0]):
+            mine, squares = ({k: v.copy() for k, v in part.items()} for part in before.value)
+            batches_seen, steps = train_nce(positions((ids.values.to_numpy() for _, ids in group), vocab.size), mine, vocab.own, [19, turn, copy], squares)
+            weights = np.concatenate([steps["r"], np.full(len(mine["q"]) + 2, batches_seen), steps["t"]])
+            table, changed = np.column_stack([as_rows(mine), pace_rows(squares)]), np.flatnonzero(weights)
             for low in range(0, len(changed), 1 << 15):
                 places = changed[low : low + (1 << 15)]
-                values = [pa.array(v) for v in np.ascontiguousarray(rows[places].T)]
+                values = [pa.array(v) for v in np.ascontiguousarray(table[places].T)]
                 head = [pa.array(places.astype(np.int32)), pa.array(weights[places].astype(np.float64))]
                 yield pa.RecordBatch.from_arrays([*head, *values], ["place", "weight", *columns])
 
-    texts = docs.select("text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism))
-    copies = texts.mapInArrow(run, "place int, weight double, " + ", ".join(f"{c} float" for c in columns))
-    mean = [(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).cast("float").alias(c) for c in columns]
-    averaged = copies.repartition("place").groupBy("place").agg(*mean).toArrow()
-    start = first_model(vocabulary.size, vocabulary.own)
-    rows = as_rows(start)
+    own = rows.repartitionById(copies, "copy").sortWithinPartitions("copy", "spot")
+    made = own.mapInArrow(run, "place int, weight double, " + ", ".join(f"{c} float" for c in columns))
+    mean = [(F.sum((F.col(c) * F.col("weight") * WHOLE).cast("long")) / F.sum("weight") / WHOLE).alias(c) for c in columns]
+    averaged = made.repartition("place").groupBy("place").agg(*mean).toArrow()
+    before.unpersist()
+    table = np.column_stack([as_rows(model), pace_rows(pace)])
     places = averaged.column("place").to_numpy()
     for i, c in enumerate(columns):
-        rows[places, i] = averaged.column(c).to_numpy()
-    return from_rows(rows, start)
+        table[places, i] = averaged.column(c).to_numpy()
+    return from_rows(table[:, : WIDTH + 1], model), pace_from_rows(table[:, WIDTH + 1 :], model)
+
+
+def positions(texts: Iterator[np.ndarray], before: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of (id, last, last but one) over all positions of the texts."""
+    held, size = [], 0
+    for ids in texts:
+        ids = ids.astype(np.int64)
+        held.append((ids, *contexts(ids, before)))
+        size += len(ids)
+        if size >= BATCH:
+            joined = [np.concatenate(v) for v in zip(*held, strict=True)]
+            held, size = [], 0
+            for low in range(0, len(joined[0]), BATCH):
+                yield tuple(v[low : low + BATCH] for v in joined)
+    if size:
+        yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
 
 
 def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -305,8 +360,7 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     Every word that occurs LEAST times is in the model. The counts cover all training texts; those
     of the KNOWN commonest words and of the model's are broadcast, the others are joined.
     """
-    small_batches(docs.sparkSession)
-    learned = docs.where(train).select("text")
+    learned = docs.where(train).select("doc_id", "text")
     counts = cut_lineage(token_counts(learned), "token-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"])
@@ -322,9 +376,7 @@ def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lm = shared.value
         per_token = np.log10(n + v + 1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             texts = [word_hashes(t) for t in text_bytes(batch.column(1))]
             ends = np.cumsum([len(t) for t in texts])
             starts = ends - [len(t) for t in texts]
