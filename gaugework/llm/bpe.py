@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, small_batches, text_bytes, worker_cache
+from gaugework.llm.common import documents, slices, text_bytes, worker_cache
 
 STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
 PAIRS = 300_000  # tokens side by side of which a worker remembers whether they may be
@@ -294,7 +294,6 @@ def bpe_encode(docs: DataFrame, ranks_file: str, pattern: str, name: str = "ids"
 
     The rank file is read on the driver and broadcast: a vocabulary is a few MB.
     """
-    small_batches(docs.sparkSession, 256)
     shared = docs.sparkSession.sparkContext.broadcast(read_file(ranks_file))
 
     @F.arrow_udf("array<int>")
@@ -351,12 +350,11 @@ def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
     As two Python steps of one plan they would take two workers a core, each with a transducer.
     """
-    small_batches(docs.sparkSession, 256)
     shared = docs.sparkSession.sparkContext.broadcast(read_file(ranks_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = worker_encoder(shared.value, pattern), worker_table(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 256):
             ids = encoded(batch.column(1), encoder)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded(ids, table)], ["doc_id", "ids", "decoded"])
 
@@ -398,13 +396,12 @@ def tokenised(docs: DataFrame, ranks_file: str | None = None, pattern: str | Non
 
     The comparison is made where the text is, so neither texts nor decoded bytes leave the worker.
     """
-    small_batches(docs.sparkSession, 256)
     shared = docs.sparkSession.sparkContext.broadcast(read_file(ranks_file or public_file(RANKS)))
     pattern = pattern or public_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = worker_encoder(shared.value, pattern), worker_table(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 256):
             ids = encoded(batch.column(1), encoder)
             back, texts = decoded(ids, table).to_pylist(), text_bytes(batch.column(1))
             same = pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())

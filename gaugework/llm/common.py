@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows per Arrow batch: texts may be long, and a worker holds one batch at a time.
+# Rows of whole texts that a function works on at once. Spark itself bounds a batch by its bytes.
 BATCH_ROWS = 512
 
 
@@ -17,13 +17,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what an Arrow batch of whole texts takes in a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterable[pa.RecordBatch]:
-    """The same rows, few at a time. Spark bounds a batch by its bytes; this bounds what is made from it."""
+    """The same rows, few at a time, without a setting of the whole session. Batches without rows are left out."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

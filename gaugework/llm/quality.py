@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, small_batches, text_bytes
+from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, text_bytes
 
 STRIDE = 8  # bytes between the beginnings of chunks; a chunk is twice as long
 EMBEDDED = 8
@@ -154,7 +154,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, per_class:
 
 def quality_score(docs: DataFrame, packed: bytes, name: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is good; null texts score as empty ones."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     @F.arrow_udf("double")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.bpe import PieceEncoder, public_file, read_file
-from gaugework.llm.common import documents, settled, small_batches, worker_cache
+from gaugework.llm.common import documents, settled, slices, worker_cache
 from gaugework.session import cut_lineage, scratch_path
 
 BLOCK = 4096  # ids of a block; each is coded on its own, from a fresh model
@@ -320,7 +320,6 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: s
     and each task codes its range; null texts have the end id alone.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
     shared = spark.sparkContext.broadcast(read_file(tokenizer_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +335,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: s
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in slices(batches, 256):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_ids.append(doc_id)
                 texts.append(encoder.encode(text or "") + end)
@@ -361,10 +360,9 @@ def read_token_files(spark, path: str) -> DataFrame:
     # One row per part: the only sort in a single task.
     shift = F.sum("n").over(Window.orderBy("part")) - F.col("n")
     shifts = settled(spark, totals.select("part", shift.alias("shift")))
-    small_batches(spark, 1)  # a segment is some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):  # a segment is some MB
             for row in batch.to_pylist():
                 lengths, ids = decode_segment(row["data"])
                 ends = np.cumsum(lengths)

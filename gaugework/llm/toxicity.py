@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, small_batches, worker_cache
+from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, worker_cache
 
 BUCKETS = 1 << 18
 FACTORS = 8
@@ -167,7 +167,6 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
 
 def toxicity_score(docs: DataFrame, packed: bytes, name: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is toxic; null texts score as empty ones."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     @F.arrow_udf("double")

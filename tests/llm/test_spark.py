@@ -167,6 +167,43 @@ def test_language_model_learns_from_every_position(spark):
     assert after[0] > after[1]
 
 
+def test_language_model_is_the_same_at_any_width(spark, monkeypatch):
+    """Several copies and rounds: the score does not see partitions, and held-out texts gain by what was learned."""
+    monkeypatch.setattr(lm, "COPY_TOKENS", 20_000)
+    draw = np.random.default_rng(2)
+    follow = {f"w{i}": [f"w{j}" for j in draw.integers(0, 40, 2)] for i in range(40)}
+
+    def text():
+        words = ["w0"]
+        while len(words) < 60:
+            words.append(follow[words[-1]][int(draw.integers(2))])
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)] + [(None, None), (7, "")], "doc_id long, text string")
+    wide, narrow = (
+        {r.doc_id: r for r in lm.lm_scores(docs.repartition(n), fold("doc_id", 7) != 2).where("doc_id <> 7").collect()} for n in (9, 1)
+    )
+    assert len(wide) == 1499 and all(abs(wide[i].score - narrow[i].score) < 1e-3 for i in wide)
+    held = [r for i, r in wide.items() if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
+def test_language_model_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = lm.lm_scores(docs, fold("doc_id", 7) > 99).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
+    assert lm.lm_scores(docs.limit(0), fold("doc_id", 7) != 2).count() == 0
+
+
+def test_no_operator_leaves_a_session_setting_behind(spark):
+    before = {k: spark.conf.get(k) for k in spark.conf.getAll}
+    docs, path = table(spark), scratch_path(spark, "test-settings")
+    token_files.write_token_files(docs, bpe.public_file("byte_bpe_50k.json"), 2, path)
+    assert token_files.with_crc(token_files.read_token_files(spark, path)).count() == len(ROWS)
+    assert bpe.tokenised(docs).count() == len(ROWS)
+    assert {k: spark.conf.get(k) for k in spark.conf.getAll} == before
+
+
 def test_tokens_and_files(spark):
     docs = table(spark)
     back = bpe.tokenised(docs).collect()
