@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from gaugework.session import cut_lineage
 
 
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every larger end ``u`` has one edge only and is no other edge's smaller end ``v``.
+
+    Then each ``v`` is the smallest node of its component, and nothing is left to do.
+    """
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    loose = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 0 AND n > 1")
+    return loose.agg(F.count("*").alias("c")).first()["c"] == 0
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link; the component is its smallest node.
 
@@ -15,12 +25,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, then to its smaller ones, until each node points at the smallest one of
     its component. A hub's neighbours are reduced to a minimum before they are shuffled
     and are joined back in a join that adaptive execution can split. Each round is a
-    written table; nothing is gathered in one place.
+    written table; nothing is gathered in one place. Links that are stars already need no round.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
     edges = cut_lineage(edges.distinct(), "links")
-    before = None
-    while not edges.isEmpty():
+    while not all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         # To the larger neighbours.
@@ -31,10 +40,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(lowest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        # Hashes, as ids may be so large that their sum is no long.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v") % 1_000_033), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``labels`` (node, component) after ``links`` between its nodes have joined components.
+
+    Only the components that a link joins are worked on, not the links of earlier calls.
+    """
+    one = labels.select(F.col("node").alias(a), F.col("component").alias("ca"))
+    two = labels.select(F.col("node").alias(b), F.col("component").alias("cb"))
+    between = links.join(one, a).join(two, b).where("ca <> cb").select("ca", "cb")
+    moved = components(between, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    joined = labels.join(moved, "component", "left")
+    return cut_lineage(joined.select("node", F.coalesce("into", "component").alias("component")), "labels")

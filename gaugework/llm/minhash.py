@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, fresh, slices, text_bytes
-from gaugework.llm.components import components
+from gaugework.llm.components import merged
 from gaugework.session import cut_lineage, scope, scratch_path
 
 # At a similarity of 0.8 a pair shares none of the bands with a probability of 1 in 14,000.
@@ -301,19 +301,19 @@ def classes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         chosen = members.where("node <> leader").groupBy("node").agg(F.max(F.struct("times", "leader")).alias("c"))
         tested = cut_lineage(chosen.select(*ends("node", "c.leader")).distinct(), "pairs")
-        links = cut_lineage(verified(tested, sets, percent), "links")
+        alone = sets.select("node", F.col("node").alias("component"))
+        labels = merged(alone, verified(tested, sets, percent))
         turn, share = 0, 1.0
         while True:
             turn += 1
-            labels = components(links)
-            labelled = members.join(labels, "node", "left").select("leader", "node", "n", F.coalesce("component", "node").alias("component"))
+            labelled = members.join(labels, "node").select("leader", "node", "n", "component")
             mixed = labelled.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             mixed = mixed.where("low <> high").select("leader")
             apart = cut_lineage(labelled.join(mixed, "leader", "left_semi"), "apart")
             if apart.isEmpty():
                 break
             if share < PRODUCTIVE:
-                links = links.unionByName(cut_lineage(blocks_compared(apart, sets, percent), "links"))
+                labels = merged(labels, blocks_compared(apart, sets, percent))
                 break
             draw = F.xxhash64("leader", "node", F.lit(turn))
             next_ = apart.groupBy("leader").agg(F.min(F.struct(draw.alias("h"), "node", "n", "component")).alias("f"))
@@ -325,10 +325,9 @@ def classes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
             pairs = cut_lineage(chosen.select(*ends("node", "c.node_1")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             tried = pairs.count()
             found = cut_lineage(verified(pairs, sets, percent), "links")
-            tested, links = tested.unionByName(pairs), links.unionByName(found)
+            tested, labels = tested.unionByName(pairs), merged(labels, found)
             share = found.count() / tried if tried else 0.0
 
-        labels = components(links)
         grouped = classes.join(labels, "node", "left").select("digest", "first", "copies", F.coalesce("component", "node").alias("component"))
         firsts = grouped.groupBy("component").agg(F.min("first").alias("lead"), F.sum("copies").alias("rows"))
         firsts = firsts.where("rows > 1")

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from gaugework.llm import ann, bpe, components, forest, lm, minhash, mixing, quality, sharding, token_files, toxicity
 from gaugework.llm.common import fold
@@ -107,6 +108,13 @@ def test_components_of_large_ids(spark):
     assert got == {most - i: most - 8 for i in range(9)} | {-(2**63): -(2**63), -(2**63) + 5: -(2**63)}
 
 
+def test_links_merge_into_earlier_components(spark):
+    labels = spark.range(10).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    for links in ([(9, 8), (7, 8), (3, 4), (4, 4)], [(7, 4), (0, 1)], []):
+        labels = components.merged(labels, spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in labels.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 3, 8: 3, 9: 3}
+
+
 def test_shards_fit_and_hold_every_row(spark):
     docs = spark.range(500).selectExpr("id AS doc_id", "repeat('x', CAST(id % 40 AS INT)) AS text", "'s' AS source")
     got = sharding.extendible_shards(docs, 1000).collect()
