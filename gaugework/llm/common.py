@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.session import cut_lineage, settle
+
 # Rows of whole texts that a function works on at once. Spark itself bounds a batch by its bytes.
 BATCH_ROWS = 512
+# Bytes of all texts together that a classifier is fitted on.
+SAMPLE_BYTES = 1 << 28
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +57,14 @@ def text_bytes(column: pa.Array) -> Iterable[bytes]:
         yield value or b""
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_bytes: int
-) -> tuple[DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[DataFrame, float]:
     """Up to about ``per_class`` labelled training texts of either label, and the share of label 1.
 
     The bound is the documented one for fitting a classifier: rows are drawn by a hash of
-    their id from the labelled rows that ``train`` (over ``doc_id``) selects; texts above
-    ``max_bytes`` are not fitted on (they are scored whole all the same). A document with
-    several labels counts with the largest; null labels and ids take no part.
+    their id from the labelled rows that ``train`` (over ``doc_id``) selects. Whole texts of any length
+    are fitted on; if those drawn hold more than SAMPLE_BYTES together, the same hash draws fewer of them, long and
+    short alike. A document with several labels counts with the largest, an id with several texts with
+    the first of them in order; null labels and ids take no part.
     """
     spark = docs.sparkSession
     rated = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -69,18 +72,18 @@ def labelled_sample(
     counts = {r["y"]: r["n"] for r in rated.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     odds = F.when(F.col("y") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
-    drawn = hex_uniform(F.concat(F.lit("sample|"), F.col("doc_id").cast("string"))) < odds
-    picked = rated.where(drawn).select(F.col("doc_id").alias("_id"), "y")
+    place = hex_uniform(F.concat(F.lit("sample|"), F.col("doc_id").cast("string"))) / F.least(F.lit(1.0), odds)
+    picked = rated.select(F.col("doc_id").alias("_id"), "y", place.alias("place")).where("place < 1")
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sample = texts.where(F.octet_length("text") <= max_bytes).join(settled(spark, picked), "_id").select("text", "y")
-    return sample, share
+    drawn = texts.join(settled(spark, picked), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("place").alias("place"))
+    drawn = cut_lineage(drawn, "sample")
+    size = drawn.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+    return drawn.where(F.col("place") < SAMPLE_BYTES / max(size, SAMPLE_BYTES)).select("text", "y"), share
 
 
 def settled(spark: SparkSession, small: DataFrame) -> DataFrame:
-    """A table kept by its size, so that Catalyst broadcasts it only below its threshold."""
-    kept = small.persist()
-    kept.count()
-    return kept
+    """A table kept by its size, so that Catalyst broadcasts it only below its threshold; a scope lets go of it."""
+    return settle(small)
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, text_bytes
+from gaugework.session import scope
 
 STRIDE = 8  # bytes between the beginnings of chunks; a chunk is twice as long
 EMBEDDED = 8
 FILTERS = 32
 HIDDEN = 16
 PER_CLASS = 2500
-MAX_TRAIN_BYTES = 1 << 17
 SLICE = 1 << 15  # blocks convolved at once
 THRESHOLD = 0.3
 
@@ -147,9 +147,10 @@ def unpack(data: bytes) -> dict:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS) -> bytes:
-    """Fit on a bounded sample: ``per_class`` texts of each label, of at most MAX_TRAIN_BYTES."""
-    sample, share = labelled_sample(docs, labels, "quality", train, per_class, MAX_TRAIN_BYTES)
-    return fit_in_task(sample, lambda texts, y: pack(fit_network([t.encode() for t in texts], y, share)))
+    """Fit on a bounded sample: ``per_class`` whole texts of each label, of SAMPLE_BYTES together."""
+    with scope(docs.sparkSession):
+        sample, share = labelled_sample(docs, labels, "quality", train, per_class)
+        return fit_in_task(sample, lambda texts, y: pack(fit_network([t.encode() for t in texts], y, share)))
 
 
 def quality_score(docs: DataFrame, packed: bytes, name: str = "score") -> DataFrame:

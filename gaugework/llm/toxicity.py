@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, fit_in_task, fold, fresh, labelled_sample, worker_cache
+from gaugework.session import scope
 
 BUCKETS = 1 << 18
 FACTORS = 8
 PER_CLASS = 4000
-MAX_TRAIN_BYTES = 1 << 20
 CACHE = 400_000
 THRESHOLD = 0.7
 TELLING = 12.0  # chi-square of a term and the label in the sample, from which the proximal step is light
@@ -160,9 +160,10 @@ def score_texts(texts: list[str | None], model: dict[str, np.ndarray], known: di
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS) -> bytes:
-    """Fit on a bounded sample: ``per_class`` texts of each label, of at most MAX_TRAIN_BYTES."""
-    sample, share = labelled_sample(docs, labels, "toxic", train, per_class, MAX_TRAIN_BYTES)
-    return fit_in_task(sample, lambda texts, y: pack(fit_machine(texts, y, share)))
+    """Fit on a bounded sample: ``per_class`` whole texts of each label, of SAMPLE_BYTES together."""
+    with scope(docs.sparkSession):
+        sample, share = labelled_sample(docs, labels, "toxic", train, per_class)
+        return fit_in_task(sample, lambda texts, y: pack(fit_machine(texts, y, share)))
 
 
 def toxicity_score(docs: DataFrame, packed: bytes, name: str = "score") -> DataFrame:

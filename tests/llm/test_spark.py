@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugework.llm import ann, bpe, components, forest, lm, minhash, mixing, quality, sharding, token_files, toxicity
+from gaugework.llm import ann, bpe, common, components, forest, lm, minhash, mixing, quality, sharding, token_files, toxicity
 from gaugework.llm.common import fold
 from gaugework.session import scratch_path
 
@@ -151,6 +151,22 @@ def test_classifiers_on_odd_rows(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_classifiers_learn_from_long_texts_and_bounded_bytes(spark, monkeypatch):
+    long = "filler words " * 200_000 + "at the end: scum"
+    rows = [(0, long, "s"), (1, "b", "s"), (1, "a", "s"), (2, None, "s"), (None, "x", "s")] + [(i, "c" * 100, "s") for i in range(3, 103)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(103)] + [(1, None), (2, 1), (None, 1)], "doc_id long, toxic int")
+    sample, share = common.labelled_sample(table(spark, rows), labels, "toxic", F.expr("doc_id <> 5"), 1000)
+    got = sorted((r.text, r.y) for r in sample.collect())
+    assert got == sorted([(long, 0), ("a", 1), ("", 1)] + [("c" * 100, i % 2) for i in range(3, 103) if i != 5])
+    assert share == sum(y for _, y in got) / len(got)
+    monkeypatch.setattr(common, "SAMPLE_BYTES", len(long) // 2)
+    fewer = common.labelled_sample(table(spark, rows), labels, "toxic", F.expr("doc_id <> 5"), 1000)[0].collect()
+    assert 25 <= len(fewer) <= 75
+    few = common.labelled_sample(table(spark, rows), labels, "toxic", F.expr("doc_id <> 5"), 10)[0].groupBy("y").count().collect()
+    assert all(2 <= r["count"] <= 25 for r in few) and len(few) == 2
+    assert common.labelled_sample(table(spark, rows).limit(0), labels, "toxic", F.expr("true"), 1000)[0].count() == 0
+
+
 def test_language_model_base_score(spark):
     docs = table(spark)
     got = {r.doc_id: r for r in lm.lm_scores(docs, fold("doc_id", 7) != 2).collect()}
