@@ -313,30 +313,37 @@ def mean_ci_by(
 
 
 SALTS = 16  # parts that a key's distinct values are dealt to: one key may hold a third of all
+BLOCK = 256  # distinct values that draw from one stream
+LOOKED_UP = 256  # up to so many copies, weights come from a table
 
 
 def _bootstrap_ends(cells: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
     """Poisson bootstrap: the 2.5 % and 97.5 % points of the resampled means per key.
 
-    ``c`` copies of a value draw one Poisson(c) weight per replicate, from a stream that a hash of key and value
-    seeds. Values come sorted by key and part of a key, so a task adds up one key at a time
-    and emits one row of weight sums for it; the second reduction adds the parts of a key and ranks its replicates.
+    ``c`` copies of a value draw one Poisson(c) weight per replicate. Values come sorted by key and part
+    of a key, and BLOCK of them at a time draw from a stream that a hash of key and first value seeds: the blocks
+    depend on the values alone. A task adds up one key at a time and emits one row of weight sums for it;
+    the second reduction adds the parts of a key and ranks its replicates.
     """
     salt, draw = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"), F.xxhash64(F.lit(seed), *keys, "value")
     dealt = spread(cells.withColumns({"salt": salt, "draw": draw}), [*keys, "salt"])
     dealt = dealt.sortWithinPartitions(*keys, "salt", "value")
     fields = ", ".join(f"`{k}` {dict(cells.dtypes)[k]}" for k in keys)
 
-    def weigh(values: np.ndarray, copies: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    def weigh(values: np.ndarray, copies: np.ndarray, stream: int, tables: dict[int, tuple]) -> np.ndarray:
+        rng = np.random.Generator(np.random.SFC64(stream))
         out = np.zeros((2, replicates))
-        for x, c, d in zip(values, copies, draws.astype(np.uint64), strict=True):
-            weights = np.random.Generator(np.random.Philox(key=d)).poisson(c, replicates)
-            out += weights, weights * x
+        for c in np.unique(copies):
+            x = values[copies == c]
+            weights = _poisson(rng, int(c), (len(x), replicates), tables)
+            out += weights.sum(axis=0), x @ weights
         return out
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[int, tuple] = {}
         for key, parts in _runs(batches, [*keys, "salt"]):
-            sums = sum(weigh(*(part[c].to_numpy() for c in ("value", "copies", "draw"))) for part in parts)
+            blocks = _blocks((part[["value", "copies", "draw"]] for part in parts), BLOCK)
+            sums = sum(weigh(b["value"].to_numpy(), b["copies"].to_numpy(), int(b["draw"].iloc[0]) % (1 << 64), tables) for b in blocks)
             yield pd.DataFrame([[*key, sums[0], sums[1]]], columns=[*keys, "salt", "w", "wx"])
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,6 +360,43 @@ def _bootstrap_ends(cells: DataFrame, keys: list[str], replicates: int, seed: in
     return gathered.mapInPandas(rank, f"{fields}, low double, high double")
 
 
+def _poisson(rng: np.random.Generator, mean: int, shape: tuple[int, int], tables: dict[int, tuple]) -> np.ndarray:
+    """Poisson weights, by 16 random bits where these decide and by a finer draw inside one of 65,536 where they do not.
+
+    ``tables`` keeps, by mean, the distribution function and the weight of each 16 bits (65,535: not decided).
+    """
+    if mean > LOOKED_UP:
+        return rng.poisson(mean, shape).astype(float)
+    if mean not in tables:
+        terms = [math.exp(-mean)]
+        while len(terms) <= mean or terms[-1] > 1e-17:
+            terms.append(terms[-1] * mean / len(terms))
+        steps = np.cumsum(terms)
+        edges = np.searchsorted(steps, np.arange(65537) / 65536, side="right")
+        tables[mean] = steps, np.where(edges[:-1] == edges[1:], edges[:-1], 65535).astype(np.uint16)
+    steps, table = tables[mean]
+    size = shape[0] * shape[1]
+    bits = rng.integers(0, 1 << 64, -(-size // 4), dtype=np.uint64).view(np.uint16)[:size].reshape(shape)
+    small = table.take(bits)
+    weights = small.astype(float)
+    open_ = np.flatnonzero(small == 65535)
+    finer = (bits.ravel()[open_] + rng.random(len(open_))) / 65536
+    weights.ravel()[open_] = np.searchsorted(steps, finer, side="right")
+    return weights
+
+
+def _blocks(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``parts`` in blocks of ``size``, wherever the parts end; the last one is shorter."""
+    held = None
+    for part in parts:
+        held = part if held is None else pd.concat([held, part])
+        whole = len(held) - len(held) % size
+        yield from (held.iloc[low : low + size] for low in range(0, whole, size))
+        held = held.iloc[whole:]
+    if held is not None and len(held):
+        yield held
+
+
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pd.DataFrame]]]:
     """Consecutive rows of equal keys, as (key, parts); a run may go over many batches."""
     parts = ((key, part) for batch in batches for key, part in batch.groupby(keys, sort=False))
