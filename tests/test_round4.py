@@ -1,4 +1,4 @@
-"""Bootstrap weights."""
+"""Bootstrap weights, and word pairs that are scored once."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.operators import distributions as dist
+from gaugework.operators import text
+from tests.conftest import rows
 
 
 @pytest.mark.parametrize("mean", [1, 3, 60, 256, 300])
@@ -39,3 +41,19 @@ def test_bootstrap_of_many_distinct_values(spark):
     normal = dist.mean_ci_by(df, ["k"], "v").first()
     assert made[0]["low"] == pytest.approx(made[1]["low"]) and made[0]["high"] == pytest.approx(made[1]["high"])
     assert abs((made[0]["high"] - made[0]["low"]) / (normal["high"] - normal["low"]) - 1) < 0.15
+
+
+def test_pairs_are_scored_once(spark):
+    """The phrases read written tables: no join is left for every use of the pairs to run again."""
+    df = spark.createDataFrame([("red apple",)] * 40 + [("red apples it's green",)] * 30 + [("the end",), (None,), ("",)], "t string")
+    for merged in (False, True):
+        out = text.phrase_counts(df, "t", threshold=1.0, merge_plurals=merged)
+        shown = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in shown and dict(rows(out))["green"] == 30
+
+
+def test_words_of_long_and_foreign_runs(spark):
+    long = "é" * 300_000
+    texts = [f"It's {long} O'Neil's x''y 42 ٤٢ 4a _b' ''q été's", None, "'"]
+    got = rows(spark.createDataFrame([(t,) for t in texts], "t string").select(text.words_of(F.col("t"))))
+    assert got == sorted([(["it", long, "o'neil", "x''y", "4a", "_b'", "q", "été"],), (None,), ([],)], key=repr)
