@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.common import documents, slices, text_bytes, worker_cache
 
-STATES = 200_000  # states of the transducer that a worker keeps before it begins anew
+STATES = 100_000  # states of the transducer that a worker keeps; from others it goes on without keeping them,
+PASSING = 4_000_000  # and after so many bytes read that way it begins anew
 PAIRS = 300_000  # tokens side by side of which a worker remembers whether they may be
 PIECES = 400_000  # encoded pieces that a worker keeps
 
@@ -35,7 +36,7 @@ class Transducer:
     state holds every place where a token may still be open, with the tokens read since
     all of them agreed; what they agree on is emitted, so the lookahead is at most the
     longest token. States and transitions are made when they are first met; beyond
-    STATES they are forgotten and made again.
+    STATES a state only passes by, and after PASSING of these all are forgotten and made again.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -63,6 +64,7 @@ class Transducer:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte
+        self.passed = 0
         self.state_of((-1, ((0, ()),)))
 
     def state_of(self, state: tuple) -> int:
@@ -110,17 +112,23 @@ class Transducer:
 
     def move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition: the next state and the tokens that are now certain."""
-        last, open_ = self.states[number]
+        state, emitted = self.step(self.states[number], byte)
+        made = self.moves[number << 8 | byte] = (self.state_of(state), emitted)
+        return made
+
+    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        last, open_ = state
         children, token_at = self.children, self.token_at
         still, ended = [], None
         for node, tokens in open_:
-            node = children[node].get(byte)
-            if node is None:
+            below = children[node]
+            if byte not in below:
                 continue
+            node = below[byte]
             if children[node] is not None:
                 still.append((node, tokens))
             token = token_at[node]
-            if token >= 0 and ended is None:
+            if ended is None and token >= 0:
                 before = tokens[-1] if tokens else last
                 fits = True
                 if before >= 0:
@@ -147,21 +155,35 @@ class Transducer:
             still = [(node, tokens[agreed:]) for node, tokens in still]
             ended = ended[agreed:]
         still.append((0, ended))
-        made = self.moves[number << 8 | byte] = (self.state_of((last, tuple(still))), emitted)
-        return made
+        return (last, tuple(still)), emitted
 
     def encode(self, data: bytes) -> list[int]:
         """The tokens of one match of the splitting pattern."""
-        if len(self.states) > STATES:
+        if self.passed > PASSING:
             self.restart()
         out: list[int] = []
         number, known = 0, self.moves.get
-        for byte in data:
-            number, emitted = known(number << 8 | byte) or self.move(number, byte)
+        for at, byte in enumerate(data):
+            found = known(number << 8 | byte)
+            if found is None:
+                if len(self.states) >= STATES:
+                    return out + self.passing(self.states[number], data[at:])
+                found = self.move(number, byte)
+            number, emitted = found
             if emitted:
                 out += emitted
         return out + list(self.states[number][1][-1][1])
 
+    def passing(self, state: tuple, data: bytes) -> list[int]:
+        """The tokens from a state on, by transitions that are not kept."""
+        out: list[int] = []
+        self.passed += len(data)
+        for byte in data:
+            state, emitted = self.step(state, byte)
+            if emitted:
+                out += emitted
+        return out + list(state[1][-1][1])
+
 
 def cuts(text: str) -> list[str]:
     """The text in pieces that the splitting pattern never joins.

@@ -1,10 +1,32 @@
-"""Rounds of the language model that shuffle by tasks."""
+"""Bounded states of the transducer, and rounds of the language model that shuffle by tasks."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from gaugework.llm import lm
+from gaugework.llm import bpe, lm
+
+
+def test_rare_states_pass_by(monkeypatch):
+    """However many states the texts need, no more than the bound are kept, and the ids are those of plain merging."""
+    rng = random.Random(5)
+    ranks = {bytes([i]): i for i in range(256)}
+    while len(ranks) < 400:
+        a, b = rng.choices([t for t in ranks if len(t) < 6 and set(t) <= set(b"abcd")], k=2)
+        if a + b not in ranks and bpe.Transducer(ranks).merged(a + b, len(ranks)) == [a, b]:
+            ranks[a + b] = len(ranks)
+    monkeypatch.setattr(bpe, "STATES", 40)
+    monkeypatch.setattr(bpe, "PASSING", 2_000)
+    transducer, restarts = bpe.Transducer(ranks), []
+    restart = transducer.restart
+    transducer.restart = lambda: (restarts.append(1), restart())
+    for _ in range(300):
+        word = bytes(rng.choices(b"abcd", k=rng.randint(1, 60)))
+        wanted = [ranks[part] for part in transducer.merged(word, len(ranks))]
+        assert transducer.encode(word) == wanted and len(transducer.states) <= 40
+    assert restarts
 
 
 def test_copies_are_added_up_in_their_tasks(spark, monkeypatch):
