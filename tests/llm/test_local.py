@@ -183,3 +183,37 @@ def test_scan_finds_the_nearest():
 def test_local_union_find():
     roots = forest.local_roots(6, np.array([4, 2, 5]), np.array([2, 1, 5]))
     assert roots.tolist() == [0, 1, 1, 3, 1, 5]
+
+
+def test_contexts_of_common_words_take_no_new_powers(monkeypatch):
+    """Fails if the sum over all outputs is worked out anew for every context of two common words."""
+    rng = np.random.default_rng(4)
+    size = lm.HEAD + 50
+    model = lm.first_model(size, rng.integers(100, 10_000, size))
+    ids, one, two = (rng.integers(0, size, 5000) for _ in range(3))
+    plain = model["r"][one] * model["c"][0] + model["r"][two] * model["c"][1]
+    outputs = (plain @ model["q"].T + model["b"]).astype(np.float64)
+    first, each = lm.outputs_of(ids, size), lm.class_size(size)
+    want = outputs[np.arange(5000), first] - np.log(np.exp(outputs).sum(axis=1))
+    for i in np.flatnonzero(ids >= lm.HEAD):
+        begin = (first[i] - lm.HEAD) * each
+        inside = model["t"][begin : begin + each].astype(np.float64)
+        scores = inside[:, : lm.WIDTH] @ plain[i] + inside[:, lm.WIDTH]
+        want[i] += scores[ids[i] - lm.HEAD - begin] - np.log(np.exp(scores).sum())
+    powers, made, real = lm.Powers(model), [], lm.log_sums
+    monkeypatch.setattr(lm, "log_sums", lambda scores, plain: made.append(scores.shape[1]) or real(scores, plain))
+    assert np.allclose(lm.log_probabilities(ids, one, two, model, powers), want, atol=1e-4)
+    assert len(model["q"]) not in made
+    model["r"] *= 1000  # scores whose powers no float holds
+    far = lm.log_probabilities(ids, one, two, model)
+    assert np.isfinite(far).all() and (far < 1e-3).all() and len(model["q"]) in made
+
+
+def test_sums_by_row_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    for most in (1, 7, 900, 100_000):
+        rows, values = rng.integers(0, most, 3000), rng.normal(size=(3000, 4)).astype(np.float32)
+        at, sums = lm.summed(rows, values)
+        want = np.zeros((most, 4))
+        np.add.at(want, rows, values)
+        assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(sums, want[at], atol=1e-3)
