@@ -209,8 +209,8 @@ class PieceEncoder:
     ``encode_pieces`` gives the ids of pieces, each encoded on its own, as little-endian bytes.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
-        self.encode_pieces = encode_pieces
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], most: int = PIECES):
+        self.encode_pieces, self.most = encode_pieces, most
         self.after: dict[str, bytes] = {}  # by what follows a blank
 
     def encode(self, text: str) -> bytes:
@@ -222,7 +222,7 @@ class PieceEncoder:
             # A part kept before is neither empty nor has white space at its ends.
             if first[-1:].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
                 return b"".join(self.encode_pieces(cuts(text)))
-            if len(self.after) > PIECES:
+            if len(self.after) > self.most:
                 self.after.clear()
             ordered = sorted(new)
             made = dict(zip(ordered, self.encode_pieces([" " + p for p in ordered]), strict=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -81,6 +82,73 @@ def test_ids_of_texts_with_the_marker_equal_the_library():
         assert np.frombuffer(encoder.encode(text), dtype="<i4").tolist() == ids, text
 
 
+def test_coded_ids_take_fewer_bytes_than_plain_ones():
+    # Ids as words have them: a few common ones, many rare ones, some in pairs.
+    rng = np.random.default_rng(9)
+    ids = rng.zipf(1.3, 1 << 17) * 7919 % 50_257
+    ids[1::4] = ids[::4] * 31 % 50_257
+    data = token_files.encode_segment(np.array([len(ids)]), ids)
+    assert len(data) < 2 * len(ids)
+    assert (token_files.decode_segment(data)[1] == ids).all()
+    # Where nothing can be foretold, the ids cost two bytes each and little more.
+    ids = rng.permutation(50_257)
+    assert len(token_files.encode_segment(np.array([len(ids)]), ids)) < 2.1 * len(ids)
+
+
+@pytest.mark.parametrize("most", [40, 70_000, (1 << 28) - 1])
+def test_range_coder_carries_long_ids_and_refuses_longer_ones(most):
+    rng = np.random.default_rng(most)
+    for n in (1, 2047, 2048, 2049, 4096, 70_001):
+        ids = rng.integers(0, most + 1, n)
+        ids[n // 2 :] = np.resize(ids[: max(1, n // 7)], n - n // 2)
+        lengths, back = token_files.decode_segment(token_files.encode_segment(np.array([n - 1, 1]), ids))
+        assert lengths.tolist() == [n - 1, 1] and (back == ids).all()
+    with pytest.raises(ValueError):
+        token_files.encode_segment(np.array([1]), np.array([1 << 28]))
+
+
+def test_cut_segments_are_errors():
+    data = token_files.encode_segment(np.array([3000, 2000]), np.arange(5000) % 700)
+    for end in (0, 10, 30, 60, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            token_files.decode_segment(data[:end])
+
+
+def test_groups_of_texts_equal_the_library_and_take_few_calls():
+    with open(bpe.public_file("byte_bpe_50k.json"), "rb") as f:
+        data = f.read()
+    plain, encoder = Tokenizer.from_str(data.decode()), token_files.library_encoder(data)
+    rng = random.Random(11)
+    ends = ["", "", "", ".", ",", "!?", "'s", "<|endoftext|>", "ª.", "中。", "3,", "\x1c", "\u3000"]
+    gaps = [" "] * 12 + ["\n", "\n\n", "\n\n\n", " \n", "\n ", "  ", "\t", "\n \n", "\r\n"]
+    texts = ["".join("".join(rng.choices("abcé", k=rng.randrange(1, 9))) + rng.choice(ends) + rng.choice(gaps) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    got = list(encoder.encode_all(texts))
+    assert [np.frombuffer(g, dtype="<i4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # Words never met before are encoded together.
+    calls, encode_texts = [], encoder.encode_texts
+    encoder.encode_texts = lambda texts: calls.append(len(texts)) or encode_texts(texts)
+    try:
+        words = [" ".join("".join(rng.choices("qwxyz", k=12)) for _ in range(200)) for _ in range(20)]
+        got = list(encoder.encode_all(words))
+    finally:
+        encoder.encode_texts = encode_texts
+    assert [np.frombuffer(g, dtype="<i4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in words]
+    assert sum(calls) < 100
+
+
+def test_few_kept_pieces_give_the_same_ids():
+    with open(bpe.public_file("byte_bpe_50k.json"), "rb") as f:
+        tokenizer = Tokenizer.from_str(f.read().decode())
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randrange(1, 6))) + rng.choice(["", ".", ","]) for _ in range(60)) for _ in range(300)]
+    for widths in (None, token_files.byte_widths(json.loads(tokenizer.to_str()), tokenizer.get_vocab())):
+        encoder = token_files.TextEncoder(lambda t: [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(t, add_special_tokens=False)], widths)
+        encoder.most = 50
+        for text in texts:
+            assert np.frombuffer(encoder.encode(text), dtype="<i4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.after) < 200
+
+
 def slow_super_minhash(elements, size):
     """The definition, an element at a time, without the early stop."""
     h = [np.iinfo(np.uint64).max] * size

@@ -241,6 +241,11 @@ def test_tokens_and_files(spark):
         assert r.start == at and r.ids[-1] == 2
         at += len(r.ids)
     assert hashlib.sha256 is not None
+    # Digests taken where the ids are decoded are those of the ids.
+    expected = sorted((r.start, r.doc_id is None, r.doc_id or 0, len(r.ids), zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())) for r in got)
+    for df in (token_files.read_token_files(spark, path, digest=True), token_files.with_crc(token_files.read_token_files(spark, path))):
+        assert df.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        assert sorted((r.start, r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in df.collect()) == expected
 
 
 VECTORS = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(300)]
